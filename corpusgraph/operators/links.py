@@ -35,8 +35,8 @@ def extract_links(pages: DataFrame) -> DataFrame:
     found = pages.select(
         "page_path",
         "title",
-        F.posexplode(F.regexp_extract_all("body", F.lit(tx.LINK_PATTERN), F.lit(0))).alias("pos", "raw"),
-    )
+        F.posexplode_outer(F.regexp_extract_all("body", F.lit(tx.LINK_PATTERN), F.lit(0))).alias("pos", "raw"),
+    ).where("raw is not null")
     target = tx.strip(F.regexp_extract("raw", tx.LINK_PATTERN, 1))
     return found.select(
         "page_path",

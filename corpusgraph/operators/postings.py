@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as tx
 from ..functions.porter import porter_stem
@@ -22,7 +22,7 @@ IDF_FLOOR = 1e-6
 SCORE_DECIMALS = 6
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _stem(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         codes, uniques = pd.factorize(s)
@@ -41,7 +41,8 @@ def build_postings(docs: DataFrame, analyzer: str = "plain") -> DataFrame:
         tx.tokens(F.coalesce("title", F.lit(""))).alias("t"),
         tx.tokens(F.coalesce("body", F.lit(""))).alias("b"),
     ).select("doc_id", F.size("t").alias("nt"), (F.size("t") + F.size("b")).alias("dl"), F.concat("t", "b").alias("all"))
-    flat = both.select("doc_id", "nt", "dl", F.posexplode("all").alias("pos", "term"))
+    # the outer form keeps the optimizer from adding a size filter that tokenises again
+    flat = both.select("doc_id", "nt", "dl", F.posexplode_outer("all").alias("pos", "term")).where("term is not null")
     counted = flat.groupBy("doc_id", "term").agg(
         F.count(F.lit(1)).alias("tf"),
         F.sum((F.col("pos") < F.col("nt")).cast("long")).alias("tf_title"),
@@ -65,12 +66,11 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def corpus_stats(docs: DataFrame) -> DataFrame:
+def corpus_stats(docs: DataFrame, postings: DataFrame) -> DataFrame:
     """One row: number of documents and mean length, empty documents included."""
-    dl = F.size(tx.tokens(F.coalesce("title", F.lit("")))) + F.size(tx.tokens(F.coalesce("body", F.lit(""))))
-    return docs.select(dl.alias("dl")).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")
-    )
+    words = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n")).scalar()
+    n = F.count(F.lit(1))
+    return docs.agg(n.alias("n_docs")).select("n_docs", (words / F.greatest("n_docs", F.lit(1))).alias("avgdl"))
 
 
 def query_terms(questions: DataFrame, analyzer: str = "plain", mode: str = "ascii") -> DataFrame:
@@ -86,7 +86,7 @@ def query_terms(questions: DataFrame, analyzer: str = "plain", mode: str = "asci
         runs = F.flatten(F.transform(runs, lambda r: tx.tokens(r)))
     else:
         runs = tx.tokens(F.col("text"))
-    out = questions.select("question_id", F.explode(runs).alias("term"))
+    out = questions.select("question_id", F.explode_outer(runs).alias("term")).where("term is not null")
     if analyzer == "porter":
         out = out.withColumn("term", _stem("term"))
     return out.groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("qtf"))

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # The built-in secret patterns; they share one type.
 SECRET_PATTERNS = (
@@ -63,7 +63,7 @@ def _span_udf(patterns: list[tuple[str, str, float]]):
 def detect_spans(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``(id, type, start, end, score)`` of every pattern match in the whole text."""
     find = _span_udf(_pattern_list(patterns))
-    return docs.select(id_col, F.explode(find("text")).alias("s")).select(id_col, "s.type", "s.start", "s.end", "s.score")
+    return docs.select(id_col, F.explode_outer(find("text")).alias("s")).where("s is not null").select(id_col, "s.type", "s.start", "s.end", "s.score")
 
 
 def count_spans(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def window_text(docs: DataFrame, size: int = WINDOW_CHARS, id_col: str = "doc_id
         for batch in batches:
             yield batch.map(lambda t: [{"offset": o, "chunk": c} for o, c in _windows(t or "", size)])
 
-    return docs.select(id_col, F.explode(windows("text")).alias("w")).select(id_col, "w.offset", "w.chunk")
+    return docs.select(id_col, F.explode_outer(windows("text")).alias("w")).where("w is not null").select(id_col, "w.offset", "w.chunk")
 
 
 def remap_spans(window_spans: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def _restore(text: str | None, keys, values) -> str | None:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _restore_udf(text: pd.Series, keys: pd.Series, values: pd.Series) -> pd.Series:
     return pd.Series([_restore(t, k, v) for t, k, v in zip(text, keys, values)], dtype=object)
 

@@ -68,7 +68,8 @@ def entity_docs(entities: DataFrame) -> DataFrame:
 
 def entity_index(entities: DataFrame, analyzer: str = "plain") -> tuple[DataFrame, DataFrame]:
     docs = entity_docs(entities)
-    return build_postings(docs, analyzer), corpus_stats(docs)
+    postings = cut(build_postings(docs, analyzer))
+    return postings, corpus_stats(docs, postings)
 
 
 def question_vectors(questions: DataFrame) -> DataFrame:

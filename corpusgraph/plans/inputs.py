@@ -6,6 +6,8 @@ spellings that differ between the engines.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -129,16 +131,23 @@ def duck_sql(name: str) -> str:
     return _FILES_DUCK if name == "page_files_v" else _fill(_RAW[name], **_DUCK)
 
 
-def load(spark: SparkSession, sf_dir: str) -> None:
-    """Register the supplied tables as views."""
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A supplied table, dealt over the cores when it comes in fewer pieces than there are cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _LARGE and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    load(spark, sf_dir)
-    return spark.sql(spark_sql(name))
+# Tables whose rows carry long texts or that have many rows.
+_LARGE = ("documents", "pages", "lineitem", "events", "embeddings")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived input; only the tables it names are registered."""
+    sql = spark_sql(name)
+    for t in TABLES:
+        if re.search(rf"\b{t}\b", sql):
+            table(spark, sf_dir, t).createOrReplaceTempView(t)
+    return spark.sql(sql)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text as tx
 
@@ -70,7 +70,7 @@ def markdown_of(html: str | None) -> str | None:
     return parser.text()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_markdown(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(markdown_of)
