@@ -112,7 +112,7 @@ def cleared_links(spark, sf):
 
 # Order lines as provenance: a part lives while some order line names it.
 _SWEEP = """FROM rel_v r WHERE {s} AND {t}"""
-_LIVE = "SELECT DISTINCT l_partkey AS entity_id FROM lineitem WHERE l_returnflag = 'R' UNION SELECT 10000000+s_suppkey FROM supplier"
+_LIVE = "SELECT DISTINCT l_partkey AS entity_id FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49 UNION SELECT 10000000+s_suppkey FROM supplier"
 
 
 def _graph(spark, sf):
@@ -122,7 +122,7 @@ def _graph(spark, sf):
     inputs.table(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
     inputs.table(spark, sf, "supplier").createOrReplaceTempView("supplier")
     links = spark.sql(
-        "SELECT l_orderkey*10+l_linenumber AS text_unit_id, l_partkey AS entity_id FROM lineitem WHERE l_returnflag = 'R' "
+        "SELECT l_orderkey*10+l_linenumber AS text_unit_id, l_partkey AS entity_id FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49 "
         "UNION ALL SELECT s_suppkey, 10000000+s_suppkey FROM supplier"
     )
     claims = spark.sql("SELECT l_orderkey*10+l_linenumber AS claim_id, l_partkey AS subject_id, 10000000+l_suppkey AS object_id, l_returnflag AS description FROM lineitem")
@@ -158,13 +158,13 @@ def sweep_claims(spark, sf):
 @register(
     "prune_reports",
     """SELECT c_nationkey AS level, c_custkey AS cluster, c_mktsegment AS title FROM customer
-       WHERE (c_nationkey, c_custkey) IN (SELECT c_nationkey, o_custkey FROM orders JOIN customer ON c_custkey = o_custkey)""",
+       WHERE (c_nationkey, c_custkey) IN (SELECT c_nationkey, o_custkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')""",
 )
 def prune_reports(spark, sf):
-    """Reports of customers; a cluster exists while it has an order."""
+    """Reports of customers; a cluster exists while it has an urgent finished order."""
     c, o = inputs.table(spark, sf, "customer"), inputs.table(spark, sf, "orders")
     reports = c.select(F.col("c_nationkey").alias("level"), F.col("c_custkey").alias("cluster"), F.col("c_mktsegment").alias("title"))
-    current = o.join(c, o.o_custkey == c.c_custkey).select(F.col("c_nationkey").alias("level"), F.col("c_custkey").alias("cluster"))
+    current = o.where("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'").join(c, o.o_custkey == c.c_custkey).select(F.col("c_nationkey").alias("level"), F.col("c_custkey").alias("cluster"))
     return mt.prune_reports(current, reports)
 
 

@@ -31,7 +31,7 @@ def settle(events: DataFrame, gap_seconds: float = SETTLE_SECONDS, key: str = "k
     """
     us = int(round(gap_seconds * 1_000_000))
     step = max(int(slice_seconds * 1_000_000), us)
-    e = events.select(F.col(key).alias("k"), F.unix_micros(F.col(ts)).alias("t")).withColumn("slice", F.floor(F.col("t") / F.lit(step)))
+    e = events.select(F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).withColumn("slice", F.floor(F.col("t") / F.lit(step)))
     inside = Window.partitionBy("k", "slice").orderBy("t")
     fresh = (F.col("t") - F.lag("t").over(inside) >= us).cast("int")
     bursts = (
