@@ -7,12 +7,12 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut, drop_cut
-from .edges import Adjacency, symmetric
+from .edges import Adjacency, loop_planning, symmetric
 
 # Iteration cap and stop threshold.
 MAX_ITERATIONS = 500
 TOLERANCE = 1e-10
-STEPS_PER_PLAN = 5
+STEPS_PER_PLAN = 10
 
 
 class Centrality(NamedTuple):
@@ -39,39 +39,27 @@ def eigenvector(
     inside = edges.join(known.withColumnRenamed("entity_id", "a"), "a", "left_semi").join(
         known.withColumnRenamed("entity_id", "b"), "b", "left_semi"
     )
-    adjacency = Adjacency(symmetric(inside.select("a", "b", F.col("weight").cast("double").alias("weight"))))
+    weighted = inside.select("a", "b", F.col("weight").cast("double").alias("weight"))
+    adjacency = Adjacency(symmetric(weighted), loops=True)
     x = cut(adjacency.rows.select(F.col("src").alias("node")).distinct().withColumn("x", F.lit(1.0)))
     done, delta, converged = 0, None, True
-    if not x.isEmpty():
+    if adjacency.n_rows:
         converged = False
-        while done < max_iterations and not converged:
-            steps = min(steps_per_plan, max_iterations - done)
-            cur = x.select("node", "x")
-            for i in range(steps):
-                came = adjacency.meet(cur, "node").select(F.col("dst").alias("node"), (F.col("x") * F.col("weight")).alias("x"))
-                if i < steps - 1:
-                    own = cur.select("node", "x")
-                    cur = own.unionByName(came).groupBy("node").agg(F.sum("x").alias("x"))
-                else:
-                    own = cur.select("node", "x", F.col("x").alias("before"))
-                    both = own.unionByName(came.withColumn("before", F.lit(0.0)))
-                    cur = both.groupBy("node").agg(F.sum("x").alias("x"), F.sum("before").alias("before"))
-            stepped = cut(cur)
-            size = stepped.agg(
-                F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("now"),
-                F.sqrt(F.sum(F.col("before") * F.col("before"))).alias("before"),
-            ).first()
-            done += steps
-            if not size["now"]:
-                x, delta, converged = stepped.select("node", F.lit(0.0).alias("x")), 0.0, True
-                break
-            delta = stepped.agg(
-                F.sum(F.abs(F.col("x") / F.lit(size["now"]) - F.col("before") / F.lit(size["before"]))).alias("d")
-            ).first()["d"]
-            converged = delta < tolerance
-            drop_cut(x)
-            x = stepped.select("node", (F.col("x") / F.lit(size["now"])).alias("x"))
-            x._corpusgraph_path = stepped._corpusgraph_path
+        with loop_planning(edges.sparkSession, adjacency.n_rows):
+            while done < max_iterations and not converged:
+                steps = min(steps_per_plan, max_iterations - done)
+                stepped = cut(_steps(x, adjacency, steps))
+                done += steps
+                size = stepped.agg(
+                    F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("now"),
+                    F.sqrt(F.sum(F.col("before") * F.col("before"))).alias("before"),
+                ).first()
+                drop_cut(x)
+                x = stepped.select("node", (F.col("x") / F.lit(size["now"])).alias("x"))
+                x._corpusgraph_path = stepped._corpusgraph_path
+                moved = F.abs(F.col("x") / F.lit(size["now"]) - F.col("before") / F.lit(size["before"]))
+                delta = stepped.agg(F.sum(moved).alias("d")).first()["d"]
+                converged = delta < tolerance
     adjacency.release()
     top = x.agg(F.max("x").alias("m")).scalar()
     score = F.when(top > 0, F.greatest(F.col("x") / top, F.lit(0.0))).otherwise(F.lit(0.0))
@@ -80,3 +68,17 @@ def eigenvector(
         .select("entity_id", F.coalesce(score, F.lit(0.0)).alias("score"))
     )
     return Centrality(scores, converged, delta, done)
+
+
+def _steps(x: DataFrame, adjacency: Adjacency, steps: int) -> DataFrame:
+    """Some multiplications in one plan; the value before the last one is kept as ``before``.
+
+    The edge of a node to itself carries the node's own value along.
+    """
+    for i in range(steps):
+        came = adjacency.meet(x.select("node", "x"), "node")
+        sums = [F.sum(F.col("x") * F.col("weight")).alias("x")]
+        if i == steps - 1:
+            sums.append(F.sum(F.when(F.col("src") == F.col("dst"), F.col("x"))).alias("before"))
+        x = came.groupBy("dst").agg(*sums).withColumnRenamed("dst", "node")
+    return x

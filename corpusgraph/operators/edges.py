@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut
@@ -32,39 +34,64 @@ class Adjacency:
 
     A node with more than ``hub_rows`` edges is split over several salts, so that no
     partition holds a whole hub.  Node values are repeated once per salt of their
-    node before they meet the edges; all other nodes have a single salt.
+    node before they meet the edges; all other nodes have a single salt.  A graph
+    without such nodes is partitioned by node alone, and values grouped by node meet it
+    without a shuffle.
     """
 
-    def __init__(self, sym: DataFrame, hub_rows: int = HUB_ROWS):
+    def __init__(self, sym: DataFrame, hub_rows: int = HUB_ROWS, loops: bool = False):
         spark = sym.sparkSession
+        if loops:
+            # an edge of weight 1 from every node to itself
+            own = sym.select("src").distinct().select("src", F.col("src").alias("dst"), F.lit(1.0).alias("weight"))
+            sym = sym.unionByName(own)
         base = cut(sym)
-        spread = base.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / F.lit(hub_rows)).cast("int").alias("spread"))
-        self.hubs = cut(spread.where(F.col("spread") > 1))
-        salt = F.pmod(F.xxhash64("dst"), F.coalesce("spread", F.lit(1))).cast("int")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.rows = (
-            base.join(self.hubs, "src", "left")
-            .withColumn("salt", salt)
-            .drop("spread")
-            .repartition(parts, "src", "salt")
-            .persist()
+        spread = base.groupBy("src").agg(F.count(F.lit(1)).alias("n")).withColumn(
+            "spread", F.ceil(F.col("n") / F.lit(hub_rows)).cast("int")
         )
+        size = spread.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("spread").alias("most")).first()
+        self.n_rows, self.salted = size["n"], (size["most"] or 0) > 1
+        self.hubs = cut(spread.where(F.col("spread") > 1).select("src", "spread")) if self.salted else None
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if self.salted:
+            salt = F.pmod(F.xxhash64("dst"), F.coalesce("spread", F.lit(1))).cast("int")
+            rows = base.join(self.hubs, "src", "left").withColumn("salt", salt).drop("spread").repartition(parts, "src", "salt")
+        else:
+            rows = base.repartition(parts, "src")
+        self.rows = rows.persist()
 
     def meet(self, values: DataFrame, node: str = "node") -> DataFrame:
         """Join ``values(node, …)`` with the edges that leave each node."""
+        values = values.withColumnRenamed(node, "src")
+        if not self.salted:
+            # hash the node values of a partition; its edges are many more and need no sort
+            return values.hint("shuffle_hash").join(self.rows, "src")
         salts = F.explode(F.sequence(F.lit(0), F.coalesce("spread", F.lit(1)) - 1))
-        salted = (
-            values.withColumnRenamed(node, "src")
-            .join(self.hubs, "src", "left")
-            .withColumn("salt", salts)
-            .drop("spread")
-        )
-        return salted.join(self.rows, ["src", "salt"]).drop("salt")
+        dealt = values.join(self.hubs, "src", "left").withColumn("salt", salts).drop("spread")
+        return dealt.hint("shuffle_hash").join(self.rows, ["src", "salt"]).drop("salt")
 
     def release(self) -> None:
         self.rows.unpersist()
 
 
+# Below this many edges the work of a round is less than the cost of planning it again
+# after each of its stages.
+LIGHT_ROWS = 5_000_000
+
+
+@contextmanager
+def loop_planning(spark, rows: int):
+    """Plan the rounds of a loop once each when the graph is small, adaptively when it is not."""
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    if rows < LIGHT_ROWS:
+        spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def neighbors(edges: DataFrame, node_id) -> DataFrame:
     """Ids one edge away from a node, whichever way the edge points."""
     other = F.when(F.col("source") == F.lit(node_id), F.col("target")).when(

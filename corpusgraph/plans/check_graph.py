@@ -200,10 +200,33 @@ def communities_orders(spark, sf):
     return cm.communities(ed.undirected_edges(rel), entities(spark, sf))
 
 
-@register("eigenvector_orders")
+_POWER = {
+    **_UND,
+    "psym": """SELECT a AS src, b AS dst, weight AS w FROM und UNION ALL SELECT b, a, weight FROM und""",
+    "x0": "SELECT src AS node, 1.0::DOUBLE AS x FROM psym GROUP BY src",
+    **{
+        f"x{i}": f"""SELECT node, sum(x) AS x FROM (SELECT node, x FROM x{i-1} UNION ALL SELECT dst, x * w FROM x{i-1} JOIN psym ON src = node) u GROUP BY node"""
+        for i in range(1, 21)
+    },
+}
+
+
+@register(
+    "eigenvector_orders",
+    with_views("rel_v", "entities_v", **_POWER)
+    + "SELECT entity_id, round(coalesce(x / (SELECT max(x) FROM x20), 0.0), 6) AS score FROM entities_v LEFT JOIN x20 ON node = entity_id",
+)
 def eigenvector_orders(spark, sf):
+    """Twenty iterations: the graph is nearly bipartite, so the cap decides, not convergence."""
     rel = inputs.view(spark, sf, "rel_v")
-    return ce.eigenvector(ed.undirected_edges(rel), entities(spark, sf).select("entity_id"), tolerance=1e-6).scores
+    c = ce.eigenvector(ed.undirected_edges(rel), entities(spark, sf).select("entity_id"), max_iterations=20)
+    return c.scores.withColumn("score", F.round("score", 6))
+
+
+@register("eigenvector_pages")
+def eigenvector_pages(spark, sf):
+    nodes, edges = _page_entities(spark, sf)
+    return ce.eigenvector(edges, nodes, tolerance=1e-6).scores
 
 
 _DEG = {"deg": """SELECT entity_id, count(*) AS degree FROM (SELECT source_id AS entity_id FROM rel_v UNION ALL SELECT target_id FROM rel_v
@@ -311,7 +334,7 @@ def by_tier(spark, sf):
     return vw.by_tier(nodes)[0].withColumn("elevation", F.round("elevation", 6))
 
 
-_POINTS = "SELECT l_orderkey * 10 + l_linenumber AS id, l_extendedprice / 100.0 AS x, l_quantity * 12.0 AS z, l_discount AS weight FROM lineitem"
+_POINTS = "SELECT o_orderkey AS id, CAST(o_totalprice / 200.0 AS DOUBLE) AS x, o_custkey * CAST(0.3 AS DOUBLE) AS z, CAST((o_orderkey % 7) / 2.0 AS DOUBLE) AS weight FROM orders"
 _GRID = {
     "pts": _POINTS,
     "box": """SELECT (x0+x1)/2 - span/2 AS mx, (z0+z1)/2 - span/2 AS mz, span/48 AS cell FROM (SELECT *, greatest(40.0, x1-x0+40.0, z1-z0+40.0) AS span FROM (
@@ -332,8 +355,8 @@ def elevation_grid(spark, sf):
 @register(
     "sample_grid",
     with_views(**_GRID,
-        at="SELECT id, least(greatest((x-mx)/cell - 0.5, 0.0), 47.0) AS fx, least(greatest((z-mz)/cell - 0.5, 0.0), 47.0) AS fz FROM pts, box",
-        k="SELECT id, floor(fx)::INT AS c0, floor(fz)::INT AS r0, least(floor(fx)+1, 47)::INT AS c1, least(floor(fz)+1, 47)::INT AS r1, fx - floor(fx) AS tx, fz - floor(fz) AS tz FROM at")
+        spot="SELECT id, least(greatest((x-mx)/cell - 0.5, 0.0), 47.0) AS fx, least(greatest((z-mz)/cell - 0.5, 0.0), 47.0) AS fz FROM pts, box",
+        k="SELECT id, floor(fx)::INT AS c0, floor(fz)::INT AS r0, least(floor(fx)+1, 47)::INT AS c1, least(floor(fz)+1, 47)::INT AS r1, fx - floor(fx) AS tx, fz - floor(fz) AS tz FROM spot")
     + """SELECT id, round((a.height + (b.height - a.height)*tx) + ((c.height + (d.height - c.height)*tx) - (a.height + (b.height - a.height)*tx))*tz, 5) AS height FROM k
          JOIN grid a ON a.r = r0 AND a.c = c0 JOIN grid b ON b.r = r0 AND b.c = c1 JOIN grid c ON c.r = r1 AND c.c = c0 JOIN grid d ON d.r = r1 AND d.c = c1""",
 )
