@@ -44,16 +44,19 @@ class Claims(NamedTuple):
     calls: DataFrame
 
 
-def _ask(prompts: DataFrame, cache: DataFrame, completer, model: str):
+def _ask(prompts: DataFrame, cache: DataFrame, completer, model: str, may_be_done: bool = False):
     """One completion round plus one repair round for answers without any record.
 
+    With ``may_be_done`` an answer that is only the end mark is final and not repaired.
+
     Returns ``(text_unit_id, response, records)`` rows, the new cache and the misses.
     """
     done = complete(with_cache_key(prompts, model), cache, completer)
     first = cut(
         done.answered.select("text_unit_id", "response", parsed_records("response").alias("records"))
     )
-    broken = first.where((F.size("records") == 0) & (tx.strip(F.coalesce("response", F.lit(""))) != ""))
+    said = tx.strip(F.coalesce("response", F.lit("")))
+    broken = first.where((F.size("records") == 0) & ~said.isin("", *([COMPLETE] if may_be_done else [])))
     again = complete(
         with_cache_key(
             broken.select("text_unit_id", F.lit(REPAIR_SYSTEM).alias("system"), repair_user(F.col("response")).alias("user")), model
@@ -92,7 +95,7 @@ def extract_records(
         prompts = turns.join(open_turns, "text_unit_id").select(
             "text_unit_id", "system", gleaning_user(F.col("user"), F.col("previous")).alias("user")
         )
-        out, cache, misses = _ask(prompts, cache, completer, model)
+        out, cache, misses = _ask(prompts, cache, completer, model, may_be_done=True)
         all_calls.append(misses)
         answer = tx.strip(F.coalesce("response", F.lit("")))
         kept = cut(out.where((answer != "") & (answer != COMPLETE) & (F.size("records") > 0)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text as tx
 
+_SPACE = re.compile(r"\s+")
 _SKIP = {"script", "style", "nav", "head", "noscript", "template"}
 _BLOCK = {"p", "div", "section", "article", "ul", "ol", "table", "tr", "footer", "header", "main", "blockquote", "pre"}
 
@@ -53,10 +55,10 @@ class _Markdown(HTMLParser):
 
     def handle_data(self, data):
         if not self.skip:
-            self.out.append(" ".join(data.split()) if data.strip() else " " if data else "")
+            self.out.append(_SPACE.sub(" ", data))
 
     def text(self) -> str:
-        lines = [line.rstrip() for line in "".join(self.out).split("\n")]
+        lines = [line.strip() for line in "".join(self.out).split("\n")]
         kept = [x for i, x in enumerate(lines) if x or (i and lines[i - 1])]
         return "\n".join(kept).strip()
 
