@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut, drop_cut
-from .edges import Adjacency, loop_planning, symmetric
+from .edges import ONE_TASK_ROWS, Adjacency, loop_planning, symmetric
 
 # Iteration cap and stop threshold.
 MAX_ITERATIONS = 500
@@ -40,7 +40,7 @@ def eigenvector(
         known.withColumnRenamed("entity_id", "b"), "b", "left_semi"
     )
     weighted = inside.select("a", "b", F.col("weight").cast("double").alias("weight"))
-    adjacency = Adjacency(symmetric(weighted), loops=True)
+    adjacency = Adjacency(symmetric(weighted), loops=True, one_task_rows=ONE_TASK_ROWS)
     x = cut(adjacency.rows.select(F.col("src").alias("node")).distinct().withColumn("x", F.lit(1.0)))
     done, delta, converged = 0, None, True
     if adjacency.n_rows:

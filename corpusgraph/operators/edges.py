@@ -34,12 +34,14 @@ class Adjacency:
 
     A node with more than ``hub_rows`` edges is split over several salts, so that no
     partition holds a whole hub.  Node values are repeated once per salt of their
-    node before they meet the edges; all other nodes have a single salt.  A graph
+    node before they meet the edges; all other nodes have a single salt.
+    ``one_task_rows`` is for loops over one value per node: graphs up to that many rows
+    stay in a single partition.  A graph
     without such nodes is partitioned by node alone, and values grouped by node meet it
     without a shuffle.
     """
 
-    def __init__(self, sym: DataFrame, hub_rows: int = HUB_ROWS, loops: bool = False):
+    def __init__(self, sym: DataFrame, hub_rows: int = HUB_ROWS, loops: bool = False, one_task_rows: int = 0):
         spark = sym.sparkSession
         if loops:
             # an edge of weight 1 from every node to itself
@@ -56,6 +58,9 @@ class Adjacency:
         if self.salted:
             salt = F.pmod(F.xxhash64("dst"), F.coalesce("spread", F.lit(1))).cast("int")
             rows = base.join(self.hubs, "src", "left").withColumn("salt", salt).drop("spread").repartition(parts, "src", "salt")
+        elif self.n_rows <= one_task_rows:
+            # a graph this small goes round in one task, without any exchange
+            rows = base.repartition(1)
         else:
             rows = base.repartition(parts, "src")
         self.rows = rows.persist()
@@ -74,6 +79,8 @@ class Adjacency:
         self.rows.unpersist()
 
 
+# Graphs up to this many rows are iterated in one task when there is one value per node.
+ONE_TASK_ROWS = 200_000
 # Below this many edges the work of a round is less than the cost of planning it again
 # after each of its stages.
 LIGHT_ROWS = 5_000_000

@@ -19,7 +19,7 @@ F_ = {
     "parsed": """SELECT *, CASE WHEN e = '.md' THEN content WHEN kind = 'artifact' OR e = '.txt' THEN concat('# ', original_name, chr(10), chr(10), '```',
         CASE e WHEN '.json' THEN 'json' WHEN '.csv' THEN 'csv' WHEN '.txt' THEN 'text' ELSE '' END, chr(10), content, chr(10), '```', chr(10)) END AS md FROM typed""",
     "ledger": """SELECT h AS content_hash, min(original_name) AS original_name, concat('raw/', h, '.old') AS raw_path, 'document' AS kind, '2024-01-01' AS ingested_at
-        FROM typed WHERE doc_id % 6 = 0 GROUP BY h""",
+        FROM typed WHERE lang = 'de' GROUP BY h""",
     "win": "SELECT h, min(original_name) AS winner FROM parsed WHERE md IS NOT NULL GROUP BY h",
     "dec": f"""SELECT p.*, l.raw_path AS lp, w.winner, CASE WHEN l.content_hash IS NOT NULL THEN 'skipped' WHEN p.original_name = w.winner THEN 'ingested'
         WHEN p.original_name > w.winner THEN 'skipped' ELSE 'error' END AS status
@@ -33,8 +33,8 @@ def _files(spark, sf):
 
 
 def _ledger(spark, sf):
-    """A ledger that already knows the contents of every sixth file."""
-    old = _files(spark, sf).where("doc_id % 6 = 0").select(F.sha2("content", 256).alias("content_hash"), "original_name")
+    """A ledger that already knows the contents of the German files."""
+    old = _files(spark, sf).where("lang = 'de'").select(F.sha2("content", 256).alias("content_hash"), "original_name")
     return old.groupBy("content_hash").agg(F.min("original_name").alias("original_name")).select(
         "content_hash", "original_name", F.concat(F.lit("raw/"), "content_hash", F.lit(".old")).alias("raw_path"),
         F.lit("document").alias("kind"), F.lit("2024-01-01").alias("ingested_at"),
@@ -101,12 +101,12 @@ def ingest_errors(spark, sf):
     "merge_ledger",
     with_views("files_v", **F_)
     + """SELECT h AS content_hash, max(original_name) AS original_name, concat('raw/', h, '.new') AS raw_path, 'document' AS kind, '2024-03-01' AS ingested_at
-         FROM typed WHERE doc_id % 4 = 0 GROUP BY h
-         UNION ALL SELECT * FROM ledger l WHERE content_hash NOT IN (SELECT h FROM typed WHERE doc_id % 4 = 0)""",
+         FROM typed WHERE lang IN ('de', 'fr') GROUP BY h
+         UNION ALL SELECT * FROM ledger l WHERE content_hash NOT IN (SELECT h FROM typed WHERE lang IN ('de', 'fr'))""",
 )
 def merge_ledger(spark, sf):
     """Files of an earlier and of a later run, keyed by content."""
-    new = _files(spark, sf).where("doc_id % 4 = 0").select(
+    new = _files(spark, sf).where("lang IN ('de', 'fr')").select(
         F.sha2("content", 256).alias("content_hash"), "original_name", F.lit("document").alias("kind"), F.lit("2024-03-01").alias("ingested_at")
     ).withColumn("raw_path", F.concat(F.lit("raw/"), "content_hash", F.lit(".new")))
     return lg.merge_ledger(_ledger(spark, sf), new)
@@ -116,10 +116,10 @@ def merge_ledger(spark, sf):
     "pending",
     with_views("files_v", **F_)
     + """SELECT l.content_hash, l.original_name, p.md AS parsed_markdown FROM ledger l JOIN (SELECT h, min(md) AS md FROM parsed WHERE md IS NOT NULL GROUP BY h) p ON p.h = l.content_hash
-         WHERE l.content_hash NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 12 = 0)""",
+         WHERE l.content_hash NOT IN (SELECT sha256(text) FROM documents WHERE n_chars > 2000)""",
 )
 def pending(spark, sf):
-    compiled = inputs.table(spark, sf, "documents").where("doc_id % 12 = 0").select(F.sha2("text", 256).alias("content_hash"))
+    compiled = inputs.table(spark, sf, "documents").where("n_chars > 2000").select(F.sha2("text", 256).alias("content_hash"))
     good = fl.split_errors(fl.to_markdown(_files(spark, sf)))[0]
     staged = good.groupBy(F.sha2("content", 256).alias("content_hash")).agg(F.min("parsed_markdown").alias("parsed_markdown"))
     return lg.pending(_ledger(spark, sf), compiled, staged).select("content_hash", "original_name", "parsed_markdown")
@@ -184,10 +184,10 @@ def html_to_markdown(spark, sf):
 @register(
     "raw_sources",
     """SELECT concat('raw/', sha256(doc_id::VARCHAR), '.md') AS page_path, concat('n', doc_id) AS title, 'source' AS page_type, text AS body
-       FROM documents WHERE doc_id % 9 <> 4""",
+       FROM documents WHERE lang <> 'es'""",
 )
 def raw_sources(spark, sf):
-    """Ledger rows with absolute, relative and doubly prefixed paths; one in nine raw files is gone."""
+    """Ledger rows with absolute, relative and doubly prefixed paths; the Spanish raw files are gone."""
     d = inputs.table(spark, sf, "documents")
     h = F.sha2(F.col("doc_id").cast("string"), 256)
     rel = F.concat(F.lit("raw/"), h, F.lit(".md"))
@@ -196,7 +196,7 @@ def raw_sources(spark, sf):
         F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/data/vault/"), rel)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("vault/"), rel))
         .otherwise(rel).alias("raw_path"),
     )
-    raw = d.where("doc_id % 9 <> 4").select(rel.alias("rel_path"), F.encode("text", "UTF-8").alias("content"))
+    raw = d.where("lang <> 'es'").select(rel.alias("rel_path"), F.encode("text", "UTF-8").alias("content"))
     return lg.raw_sources(ledger, raw, "/data/vault").drop("tags", "frontmatter")
 
 

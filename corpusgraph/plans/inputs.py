@@ -50,7 +50,7 @@ FILES_V = """
 SELECT concat('f', lpad(CAST(doc_id AS {text}),7,'0'),
   CASE doc_id%8 WHEN 0 THEN '.PDF' WHEN 1 THEN '.md' WHEN 2 THEN '.png' WHEN 3 THEN '.json'
        WHEN 4 THEN '.xyz' WHEN 5 THEN '.html' WHEN 6 THEN '.csv' ELSE '.txt' END) AS original_name,
-  text AS content, doc_id
+  text AS content, doc_id, lang
 FROM documents
 """
 
