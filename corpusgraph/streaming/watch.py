@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as tx
-from ..operators.maintain import PageIndex, apply_page_diff, build_index
+from ..operators.maintain import PageIndex, build_index, diff_pages
 from ..operators.pages import parse_pages
 from ..session import cut
 from ..sources.files import to_markdown, utf8
@@ -102,48 +102,66 @@ def once_per_content(files: DataFrame, lateness: str = "1 hour") -> DataFrame:
     )
 
 
-def write_index(index: PageIndex, spark: SparkSession, state: str, version: int) -> None:
-    folder = f"{state}/index/v={version}"
+INDEX_SCHEMA = "page_path string, title string, page_type string, content_hash string, updated string"
+
+
+def write_index(index: PageIndex, state: str, batch: int) -> None:
+    """Write the rows of one batch to folders of its number; running it again replaces them."""
     for name, df in zip(PageIndex._fields, index):
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    spark.createDataFrame([(version,)], "version bigint").coalesce(1).write.mode("overwrite").parquet(f"{state}/index/current")
+        df.write.mode("overwrite").parquet(f"{state}/index/{name}/batch={batch}")
+
+
+def _newest(spark: SparkSession, state: str, before_batch: int | None = None) -> DataFrame:
+    """Newest index row of every page ever indexed; a deleted page has a null hash."""
+    rows = spark.read.schema(INDEX_SCHEMA + ", batch bigint").parquet(f"{state}/index/index")
+    if before_batch is not None:
+        rows = rows.where(F.col("batch") < before_batch)
+    fields = ("title", "page_type", "content_hash", "updated", "batch")
+    return rows.groupBy("page_path").agg(F.max_by(F.struct(*fields), "batch").alias("r")).select(
+        "page_path", *[f"r.{c}" for c in fields]
+    )
 
 
 def read_index(spark: SparkSession, state: str) -> PageIndex | None:
-    if not _exists(spark, f"{state}/index/current"):
+    """The index as of the last batch: of every page, the rows of its newest batch."""
+    if not _exists(spark, f"{state}/index/index"):
         return None
-    version = spark.read.parquet(f"{state}/index/current").first()["version"]
-    return PageIndex(*[spark.read.parquet(f"{state}/index/v={version}/{name}") for name in PageIndex._fields])
+    live = _newest(spark, state).where("content_hash is not null")
+    key = live.select(F.col("page_path").alias("doc_id"), "batch")
+    tables = []
+    for name in ("postings", "vectors"):
+        rows = spark.read.parquet(f"{state}/index/{name}").withColumn("batch", F.col("batch").cast("bigint"))
+        tables.append(rows.join(key, ["doc_id", "batch"], "left_semi").drop("batch"))
+    return PageIndex(live.drop("batch"), *tables)
 
 
 def index_batch(spark: SparkSession, pages: DataFrame, state: str, batch: int, partial: bool = True) -> None:
-    """Bring the stored index up to date with a batch of pages.
+    """Index the pages of a batch whose body hash changed.
 
-    With ``partial`` the batch holds only new or changed pages and nothing is deleted.
+    Only their rows are written, so a batch costs what it changes and not the size of
+    the index.  With ``partial`` the batch holds new and changed pages only; otherwise it is
+    the whole collection and pages missing from it are marked as deleted.
     """
     now = datetime.now(timezone.utc).isoformat()
     pages = cut(pages)
-    stored = read_index(spark, state)
-    if stored is None:
-        write_index(build_index(pages, now), spark, state, batch)
-        return
-    if partial:
-        keys = pages.select("page_path")
-        docs = keys.withColumnRenamed("page_path", "doc_id")
-        mine = PageIndex(
-            stored.index.join(keys, "page_path", "left_semi"),
-            stored.postings.join(docs, "doc_id", "left_semi"),
-            stored.vectors.join(docs, "doc_id", "left_semi"),
-        )
-        fresh = apply_page_diff(pages, mine, now)
-        merged = PageIndex(
-            stored.index.join(keys, "page_path", "left_anti").unionByName(fresh.index),
-            stored.postings.join(docs, "doc_id", "left_anti").unionByName(fresh.postings),
-            stored.vectors.join(docs, "doc_id", "left_anti").unionByName(fresh.vectors),
+    fresh, gone = pages, None
+    if _exists(spark, f"{state}/index/index"):
+        stored = cut(_newest(spark, state, batch).where("content_hash is not null").select("page_path", "content_hash"))
+        if partial:
+            stored_here = stored.join(pages.select("page_path"), "page_path", "left_semi")
+        else:
+            stored_here = stored
+        diff = cut(diff_pages(pages, stored_here))
+        fresh = pages.join(diff.where("change in ('added','updated')").select("page_path"), "page_path", "left_semi")
+        gone = diff.where("change = 'deleted'").select("page_path")
+    built = build_index(fresh, now)
+    if gone is not None:
+        none = F.lit(None).cast("string")
+        marks = gone.select(
+            "page_path", none.alias("title"), none.alias("page_type"), none.alias("content_hash"), F.lit(now).alias("updated")
         )
-    else:
-        merged = apply_page_diff(pages, stored, now)
-    write_index(merged, spark, state, batch)
+        built = built._replace(index=built.index.unionByName(marks))
+    write_index(built, state, batch)
 
 
 def index_stream(spark: SparkSession, wiki: str, state: str, once: bool = False, interval: str = "2 seconds") -> StreamingQuery:

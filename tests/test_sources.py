@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from corpusgraph.operators import pages as pg
 from corpusgraph.sources import files as fl, html as hm, ledger as lg
 from corpusgraph.streaming import settle as st, watch as wt
 
@@ -93,3 +94,12 @@ def test_index_stream_updates_changed_pages(spark, folder):
     rows = {r["page_path"]: r["content_hash"] for r in second.index.collect()}
     assert set(rows) == {f"wiki/concepts/{x}.md" for x in "abc"} and rows["wiki/concepts/a.md"] == first["wiki/concepts/a.md"]
     assert {r["doc_id"] for r in second.postings.where("term = 'fresh'").collect()} == {"wiki/concepts/c.md"}
+    # a whole collection without b, and with a changed
+    frame = pg.parse_pages(spark.createDataFrame([("wiki/concepts/a.md", "# A\n\nnew words"), ("wiki/concepts/c.md", "# C\n\nfresh")], "page_path string, text string"))
+    for _ in range(2):  # running a batch again changes nothing
+        wt.index_batch(spark, frame, state, 7, partial=False)
+        third = wt.read_index(spark, state)
+        assert {r["page_path"] for r in third.index.collect()} == {"wiki/concepts/a.md", "wiki/concepts/c.md"}
+        terms = {(r["doc_id"][-4], r["term"]) for r in third.postings.collect()}
+        assert ("a", "new") in terms and ("a", "old") not in terms and not any(d == "b" for d, _ in terms)
+        assert third.vectors.count() == 2
