@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import privacy as pv
-from ..session import checkpoint_root, cut
+from ..session import run_folder
 from ..streaming import settle as st
 from . import inputs
 from .catalog import register, with_views
@@ -114,7 +114,7 @@ def settle_stream(spark, sf):
     """
     events = inputs.table(spark, sf, "events").select("ts", F.lit("drop").alias("key"))
     end = events.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
-    folder = f"{checkpoint_root(spark)}/settle-{tempfile.mktemp(prefix='', dir='')}"
+    folder = f"{run_folder(spark)}/settle-{uuid.uuid4().hex}"
     events.unionByName(end.withColumn("key", F.lit("drop"))).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema("ts timestamp, key string").parquet(f"{folder}/in")
     query = (

@@ -45,10 +45,27 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+_RUN = uuid.uuid4().hex
+_PREPARED: set[tuple[str, str]] = set()
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Folder of this run's intermediates; it goes when the driver ends."""
+    folder = f"{checkpoint_root(spark)}/corpusgraph/{_RUN}"
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _PREPARED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _PREPARED.add(key)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return a frame that reads it back."""
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/corpusgraph/{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._corpusgraph_path = path
