@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import secrets, shards
+from . import decontam, fingerprints, jaccard, secrets, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,36 @@ def op9_shards(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard"
     )
+
+
+@_query
+def op10_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.jaccard_groups(_table(spark, sf, "documents"), k=4, percent=85)
+
+
+ORACLES["op10_jaccard"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM w WHERE len(words) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))
+), r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.y) AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.x = w.doc_id GROUP BY w.doc_id, n.n
+"""
+
+
+@_query
+def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontam.contaminated(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+    return found.select("doc_id", F.size("item_ids").cast("long").alias("n_items"), "item_ids", "similarity", (F.size("item_ids") > 0).alias("contaminated"))
+
+
+@_query
+def op8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.neighbour_report(_table(spark, sf, "documents"))
