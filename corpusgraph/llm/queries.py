@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, fingerprints, jaccard, secrets, shards
+from . import bpe, decontam, fingerprints, jaccard, licenses, secrets, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,20 @@ def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def op8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.neighbour_report(_table(spark, sf, "documents"))
+
+
+@_query
+def op1_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.licenses(_table(spark, sf, "documents"))
+
+
+def vocabulary() -> str:
+    """The vocabulary file of the byte-level BPE queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_query
+def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf, "documents"), vocabulary())
