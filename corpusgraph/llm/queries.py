@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, fingerprints, jaccard, licenses, secrets, shards
+from . import bpe, classlm, decontam, fingerprints, jaccard, licenses, secrets, shards, toxicity
+from .words import crc_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +83,27 @@ def vocabulary() -> str:
 @_query
 def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf, "documents"), vocabulary())
+
+
+def _learnable():
+    return crc_of(F.col("doc_id")) % 4 != 2
+
+
+@_query
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = _table(spark, sf, "documents"), _table(spark, sf, "labels")
+    model = toxicity.train(docs, labels, _learnable())
+    return toxicity.scored(docs, model).select(
+        "doc_id", (~_learnable()).alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted")
+    )
+
+
+@_query
+def op3_classlm(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    held_out = crc_of(F.col("doc_id")) % 10 == 0
+    model, counts = classlm.fit(docs, ~held_out)
+    return classlm.scored(docs, model, counts).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+    )
