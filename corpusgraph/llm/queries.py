@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, classlm, decontam, fingerprints, jaccard, licenses, secrets, shards, toxicity
+from . import bpe, classlm, decontam, fingerprints, jaccard, licenses, linedup, secrets, shards, toxicity
 from .words import crc_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,15 @@ def op3_classlm(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score",
         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )
+
+
+@_query
+def op5_lines(spark: SparkSession, sf: str) -> DataFrame:
+    docs = linedup.hashed_text(_table(spark, sf, "documents").select("doc_id", "text"))
+    told = linedup.line_classes(docs)
+    return told.select(
+        "doc_id", F.size("lines").cast("long").alias("n_lines"),
+        F.size(F.filter("lines", lambda x: ~x["first"])).cast("long").alias("n_repeated"),
+        F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + x["n_links"]).alias("n_links"),
+        F.transform("lines", lambda x: x["first_doc"]).alias("first_docs"),
+    )
