@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -39,7 +40,20 @@ def _pattern_list(patterns: DataFrame) -> list[tuple[str, str, float]]:
     return [(r["type"], r["pattern"], float(r["score"])) for r in rows]
 
 
-def _span_udf(patterns: list[tuple[str, str, float]]):
+def _echoes(text: str, spans: list[dict]) -> list[dict]:
+    """Places where a found value stands again in other case or spacing, as titles in prompts do.
+
+    Their scores are negative: they rank below every match.
+    """
+    out = []
+    for (type_, words), score in {(s["type"], tuple(text[s["start"] : s["end"]].split())): s["score"] for s in spans}.items():
+        again = re.compile(r"\s+".join(map(re.escape, words)), re.IGNORECASE)
+        out += [{"type": type_, "start": m.start(), "end": m.end(), "score": score - 1.0} for m in again.finditer(text)]
+    known = {(s["start"], s["end"]) for s in spans}
+    return [s for s in out if (s["start"], s["end"]) not in known]
+
+
+def _span_udf(patterns: list[tuple[str, str, float]], echoes: bool = False):
     @F.pandas_udf(f"array<{_SPAN}>")
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         compiled = [(t, re.compile(p), s) for t, p, s in patterns]
@@ -47,12 +61,13 @@ def _span_udf(patterns: list[tuple[str, str, float]]):
         def find(text):
             if not text:
                 return []
-            return [
+            found = [
                 {"type": t, "start": m.start(), "end": m.end(), "score": s}
                 for t, rx, s in compiled
                 for m in rx.finditer(text)
                 if m.end() > m.start()
             ]
+            return found + _echoes(text, found) if echoes and found else found
 
         for batch in batches:
             yield batch.map(find)
@@ -68,29 +83,16 @@ def detect_spans(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id") -
 
 def count_spans(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """Matches per type, counted without leaving the JVM: ``(type, n)``."""
-    totals = [
-        docs.select(F.lit(t).alias("type"), F.regexp_count("text", F.lit(p)).alias("n"))
-        for t, p, _ in _pattern_list(patterns)
-    ]
-    out = totals[0]
-    for t in totals[1:]:
-        out = out.unionByName(t)
-    return out.groupBy("type").agg(F.sum("n").alias("n"))
-
-
-def _windows(text: str, size: int) -> list[tuple[int, str]]:
-    if len(text) <= size:
-        return [(0, text)] if text else []
-    out, at = [], 0
-    while at < len(text):
-        stop = at + size
-        if stop < len(text):
-            gap = text.rfind(" ", at, stop)
-            gap = gap if gap >= 0 else text.rfind("\n", at, stop)
-            stop = gap + 1 if gap > at else stop
-        out.append((at, text[at:stop]))
-        at = min(stop, len(text))
-    return out
+    known = _pattern_list(patterns)
+    counts = docs.select(*[F.sum(F.regexp_count("text", F.lit(p))).alias(f"n{i}") for i, (_, p, _) in enumerate(known)])
+    told = F.array(*[F.struct(F.lit(t).alias("type"), F.col(f"n{i}").cast("long").alias("n")) for i, (t, _, _) in enumerate(known)])
+    return counts.select(F.explode(told).alias("c")).groupBy("c.type").agg(F.sum("c.n").alias("n"))
+
+
+def _tiling(size: int) -> str:
+    """Pattern whose matches tile a text: the rest if it fits, else up to the last blank, else up to
+    the last newline, else a full window."""
+    return rf"(?s).{{1,{size}}}\z|.{{1,{size - 1}}} |.{{1,{size - 1}}}\n|.{{{size}}}"
 
 
 def window_text(docs: DataFrame, size: int = WINDOW_CHARS, id_col: str = "doc_id") -> DataFrame:
@@ -98,13 +100,14 @@ def window_text(docs: DataFrame, size: int = WINDOW_CHARS, id_col: str = "doc_id
 
     ``(id, offset, chunk)``; the chunks of a text put together are the text.
     """
-
-    @F.pandas_udf("array<struct<offset:int,chunk:string>>")
-    def windows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda t: [{"offset": o, "chunk": c} for o, c in _windows(t or "", size)])
-
-    return docs.select(id_col, F.explode_outer(windows("text")).alias("w")).where("w is not null").select(id_col, "w.offset", "w.chunk")
+    tiles = docs.select(id_col, F.regexp_extract_all("text", F.lit(_tiling(size)), F.lit(0)).alias("tiles"))
+    placed = F.transform(
+        "tiles",
+        lambda c, i: F.struct(
+            F.aggregate(F.slice("tiles", 1, i), F.lit(0), lambda n, x: n + F.char_length(x)).alias("offset"), c.alias("chunk")
+        ),
+    )
+    return tiles.select(id_col, F.explode(placed).alias("w")).select(id_col, "w.offset", "w.chunk")
 
 
 def remap_spans(window_spans: DataFrame) -> DataFrame:
@@ -125,9 +128,17 @@ def _settle(spans) -> list[dict]:
 
 
 def _replace(text: str, spans, share: bool) -> tuple[str, list[dict]]:
+    """``share`` gives equal values one token; the first match also stands for its echoes."""
     out, at, counts, tokens, by_value = [], 0, {}, [], {}
+    found = {}
+    for s in spans if share else ():
+        if s["score"] >= 0:
+            value = text[s["start"] : s["end"]]
+            found.setdefault((s["type"], " ".join(value.split()).casefold()), value)
     for s in _settle(spans):
         value = text[s["start"] : s["end"]]
+        if share and s["score"] < 0:
+            value = found[(s["type"], " ".join(value.split()).casefold())]
         token = by_value.get((s["type"], value)) if share else None
         if token is None:
             counts[s["type"]] = counts.get(s["type"], 0) + 1
@@ -169,33 +180,56 @@ def redact(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id") -> DataFra
 
 
 def redact_turns(turns: DataFrame, patterns: DataFrame, id_col: str) -> DataFrame:
-    """Redact in place, one row per turn; equal values share a token within the turn."""
-    find = _span_udf(_pattern_list(patterns))
+    """Redact in place, one row per turn; equal values share a token within the turn, whatever their case."""
+    find = _span_udf(_pattern_list(patterns), echoes=True)
     found = turns.withColumn("spans", find("text"))
     return found.select(id_col, _replace_udf(True)("text", "spans").alias("r")).select(
         id_col, F.col("r.text").alias("text"), _token_map(F.col("r.tokens")).alias("turn_map")
     )
 
 
-_TOKEN = re.compile(r"\[?REDACTED_([A-Z0-9_]+)_(\d+)\]?")
+_TOKEN = re.compile(r"\[REDACTED(?:_[A-Z0-9]+)+\]")
+_BETWEEN = re.compile(r"[ _]+")
+
+
+@lru_cache(maxsize=1024)
+def _token_finder(keys: tuple[str, ...]) -> tuple[re.Pattern, dict[tuple[str, ...], str]]:
+    """One pattern for all tokens of a map, and the token of each sequence of words.
+
+    A token may have lost its brackets, and blanks may stand for its underscores.  Longer
+    tokens are tried first, so that number 12 is not read as number 1.
+    """
+    shapes, owners = [], {}
+    for key in sorted(keys, key=len, reverse=True):
+        if _TOKEN.fullmatch(key):
+            parts = key[1:-1].split("_")
+            owners[tuple(parts)] = key
+            shapes.append(r"\[?" + "[ _]+".join(parts) + r"\]?")
+        else:
+            owners[(key,)] = key
+            shapes.append(re.escape(key))
+    return re.compile("|".join(shapes)), owners
 
 
 def _restore(text: str | None, keys, values) -> str | None:
+    """Originals for tokens in one scan; a mangled form counts once, and only where the exact token is missing."""
     if text is None or keys is None or not len(keys):
         return text
-    missing = []
-    for key, value in zip(keys, values):
-        if key in text:
-            text = text.replace(key, value)
-        else:
-            missing.append((key, value))
-    for key, value in sorted(missing, key=lambda kv: -len(kv[0])):
-        shape = _TOKEN.fullmatch(key)
-        if shape:
-            words = [*shape.group(1).split("_"), shape.group(2)]
-            loose = r"\[?REDACTED[ _]+" + r"[ _]+".join(map(re.escape, words)) + r"\]?"
-            text = re.sub(loose, lambda _: value, text, count=1)
-    return text
+    originals = dict(zip(keys, values))
+    finder, owners = _token_finder(tuple(originals))
+    spent: set[str] = set()
+
+    def original(found: re.Match) -> str:
+        told = found.group()
+        if told in originals:
+            return originals[told]
+        key = owners[tuple(_BETWEEN.split(told.strip("[]")))]
+        if key in spent or key in text:
+            return told
+        spent.add(key)
+        return originals[key]
+
+    return finder.sub(original, text)
 
 
 @F.pandas_udf(T.StringType())

@@ -140,6 +140,8 @@ def collect_tree(
     shown = F.when(F.col("prefix") == recent_prefix, F.lit(label)).otherwise(F.col("prefix"))
     below = F.col("rel_path").substr(F.length("prefix") + 2, F.length("rel_path"))
     named = wanted.withColumn("original_name", F.concat(shown, F.lit("__"), F.replace(below, F.lit("/"), F.lit("__")))).drop("prefix")
-    roots = files.sparkSession.createDataFrame([(p,) for p in (*prefixes, recent_prefix)], "root string")
-    present = files.select(F.substring_index("rel_path", "/", 1).alias("root")).distinct()
-    return named.join(staged.select("original_name"), "original_name", "left_anti"), roots.join(present, "root", "left_anti")
+    # one flag per root, whatever its depth
+    held = files.select(*[F.max(F.startswith("rel_path", F.lit(p + "/"))).alias(f"r{i}") for i, p in enumerate((*prefixes, recent_prefix))])
+    flags = held.select(F.explode(F.array(*[F.struct(F.lit(p).alias("root"), F.coalesce(f"r{i}", F.lit(False)).alias("held")) for i, p in enumerate((*prefixes, recent_prefix))])).alias("f"))
+    empty = flags.where("NOT f.held").select("f.root")
+    return named.join(staged.select("original_name"), "original_name", "left_anti"), empty

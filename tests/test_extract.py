@@ -198,8 +198,31 @@ def test_rehydrate_mangled_tokens():
     assert restore("[REDACTED_OTHER_4]") == "[REDACTED_OTHER_4]"
 
 
-def test_windows_cut_at_blanks():
-    text = "word " * 1200 + "z" * 3000
-    parts = pv._windows(text, 2500)
-    assert "".join(c for _, c in parts) == text and all(len(c) <= 2500 for _, c in parts)
-    assert all(text[o : o + len(c)] == c for o, c in parts)
+def test_windows_cut_at_blanks(spark):
+    texts = ["word " * 1200 + "z" * 3000, "é" * 2500, "é𝒳" * 1251, "line\n" * 600 + "q" * 2499, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    parts = pv.window_text(docs, 2500).orderBy("doc_id", "offset").collect()
+    for i, text in enumerate(texts):
+        own = [(r["offset"], r["chunk"]) for r in parts if r["doc_id"] == i]
+        assert "".join(c for _, c in own) == (text or "") and all(len(c) <= 2500 for _, c in own)
+        assert all(text[o : o + len(c)] == c for o, c in own)
+    assert all(c.endswith(" ") for c in [r["chunk"] for r in parts if r["doc_id"] == 0][:2])
+    assert [r["chunk"] for r in parts if r["doc_id"] == 3][0].endswith("\n")
+
+
+def test_claim_prompts_hide_restored_titles(spark):
+    key = "sk-" + "aB3x" * 6
+    units = spark.createDataFrame([(1, f"the key {key} belongs to ops"), (2, "Bob  Stone met BOB STONE and bob stone")], "text_unit_id bigint, text string")
+    entities = spark.createDataFrame([(1, 0, key.upper(), "OTHER"), (2, 0, "BOB STONE", "PERSON")], "text_unit_id bigint, ordinal bigint, title string, type string")
+    patterns = pv.secret_patterns(spark).unionByName(spark.createDataFrame([("PERSON", r"Bob\s+Stone", 0.9)], "type string, pattern string, score double"))
+    asked = []
+
+    def answer(batches):
+        for b in batches:
+            for user in b["user"]:
+                assert key.lower() not in user.lower() and "bob stone" not in " ".join(user.lower().split())
+            yield b[["cache_key"]].assign(response=['("claim"<|>[REDACTED_SECRET_1]<|>NONE<|>X<|>TRUE<|>NONE<|>NONE<|>about [REDACTED_SECRET_1])' for _ in b["user"]])
+
+    got = ex.extract_claims(units, entities, cache(spark), answer, patterns=patterns, redact=True)
+    rows = got.claims.collect()
+    assert not asked and [(r["subject"], r["description"]) for r in rows] == [(key.upper(), f"about {key}")]
