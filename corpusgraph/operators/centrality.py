@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut, drop_cut
-from .edges import ONE_TASK_ROWS, Adjacency, loop_planning, symmetric
+from .edges import Adjacency, symmetric
 
 # Iteration cap and stop threshold.
 MAX_ITERATIONS = 500
@@ -40,26 +40,25 @@ def eigenvector(
         known.withColumnRenamed("entity_id", "b"), "b", "left_semi"
     )
     weighted = inside.select("a", "b", F.col("weight").cast("double").alias("weight"))
-    adjacency = Adjacency(symmetric(weighted), loops=True, one_task_rows=ONE_TASK_ROWS)
+    adjacency = Adjacency(symmetric(weighted), loops=True)
     x = cut(adjacency.rows.select(F.col("src").alias("node")).distinct().withColumn("x", F.lit(1.0)))
     done, delta, converged = 0, None, True
     if adjacency.n_rows:
         converged = False
-        with loop_planning(edges.sparkSession, adjacency.n_rows):
-            while done < max_iterations and not converged:
-                steps = min(steps_per_plan, max_iterations - done)
-                stepped = cut(_steps(x, adjacency, steps))
-                done += steps
-                size = stepped.agg(
-                    F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("now"),
-                    F.sqrt(F.sum(F.col("before") * F.col("before"))).alias("before"),
-                ).first()
-                drop_cut(x)
-                x = stepped.select("node", (F.col("x") / F.lit(size["now"])).alias("x"))
-                x._corpusgraph_path = stepped._corpusgraph_path
-                moved = F.abs(F.col("x") / F.lit(size["now"]) - F.col("before") / F.lit(size["before"]))
-                delta = stepped.agg(F.sum(moved).alias("d")).first()["d"]
-                converged = delta < tolerance
+        while done < max_iterations and not converged:
+            steps = min(steps_per_plan, max_iterations - done)
+            stepped = cut(_steps(x, adjacency, steps))
+            done += steps
+            size = stepped.agg(
+                F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("now"),
+                F.sqrt(F.sum(F.col("before") * F.col("before"))).alias("before"),
+            ).first()
+            drop_cut(x)
+            x = stepped.select("node", (F.col("x") / F.lit(size["now"])).alias("x"))
+            x._corpusgraph_path = stepped._corpusgraph_path
+            moved = F.abs(F.col("x") / F.lit(size["now"]) - F.col("before") / F.lit(size["before"]))
+            delta = stepped.agg(F.sum(moved).alias("d")).first()["d"]
+            converged = delta < tolerance
     adjacency.release()
     top = x.agg(F.max("x").alias("m")).scalar()
     score = F.when(top > 0, F.greatest(F.col("x") / top, F.lit(0.0))).otherwise(F.lit(0.0))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut
 
 # Adjacency rows of one node that stay together; a larger node is salted.
 HUB_ROWS = 100_000
+# Adjacency rows for each partition; their number follows the graph.
+TASK_ROWS = 200_000
 
 
 def undirected_edges(relationships: DataFrame) -> DataFrame:
@@ -35,13 +35,11 @@ class Adjacency:
     A node with more than ``hub_rows`` edges is split over several salts, so that no
     partition holds a whole hub.  Node values are repeated once per salt of their
     node before they meet the edges; all other nodes have a single salt.
-    ``one_task_rows`` is for loops over one value per node: graphs up to that many rows
-    stay in a single partition.  A graph
-    without such nodes is partitioned by node alone, and values grouped by node meet it
-    without a shuffle.
+    There is one partition for every ``task_rows`` edges.  A graph without such nodes is
+    partitioned by node alone, and values grouped by node meet it without a shuffle.
     """
 
-    def __init__(self, sym: DataFrame, hub_rows: int = HUB_ROWS, loops: bool = False, one_task_rows: int = 0):
+    def __init__(self, sym: DataFrame, hub_rows: int = HUB_ROWS, loops: bool = False, task_rows: int = TASK_ROWS):
         spark = sym.sparkSession
         if loops:
             # an edge of weight 1 from every node to itself
@@ -54,13 +52,10 @@ class Adjacency:
         size = spread.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("spread").alias("most")).first()
         self.n_rows, self.salted = size["n"], (size["most"] or 0) > 1
         self.hubs = cut(spread.where(F.col("spread") > 1).select("src", "spread")) if self.salted else None
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(1, -(-self.n_rows // task_rows))
         if self.salted:
             salt = F.pmod(F.xxhash64("dst"), F.coalesce("spread", F.lit(1))).cast("int")
             rows = base.join(self.hubs, "src", "left").withColumn("salt", salt).drop("spread").repartition(parts, "src", "salt")
-        elif self.n_rows <= one_task_rows:
-            # a graph this small goes round in one task, without any exchange
-            rows = base.repartition(1)
         else:
             rows = base.repartition(parts, "src")
         self.rows = rows.persist()
@@ -79,26 +74,6 @@ class Adjacency:
         self.rows.unpersist()
 
 
-# Graphs up to this many rows are iterated in one task when there is one value per node.
-ONE_TASK_ROWS = 200_000
-# Below this many edges the work of a round is less than the cost of planning it again
-# after each of its stages.
-LIGHT_ROWS = 5_000_000
-
-
-@contextmanager
-def loop_planning(spark, rows: int):
-    """Plan the rounds of a loop once each when the graph is small, adaptively when it is not."""
-    key = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(key)
-    if rows < LIGHT_ROWS:
-        spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def neighbors(edges: DataFrame, node_id) -> DataFrame:
     """Ids one edge away from a node, whichever way the edge points."""
     other = F.when(F.col("source") == F.lit(node_id), F.col("target")).when(
