@@ -1,7 +1,13 @@
-"""Watching a folder: ingest every new file once, keep the indexes current."""
+"""Watching a folder: ingest every new content once, keep the indexes current.
+
+A clock stream starts the cycles.  Each lists the folder without reading it, compares the
+listing with the one stored by the cycle before, and reads only new and changed files; a
+file source alone would never see a path a second time, nor miss one that went.
+"""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -14,6 +20,7 @@ from ..operators.pages import parse_pages
 from ..session import cut
 from ..sources.files import to_markdown, utf8
 from ..sources.ledger import LEDGER_COLUMNS, ingest, log_rows
+from .settle import SETTLE_SECONDS
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 LEDGER_SCHEMA = "content_hash string, original_name string, raw_path string, kind string, ingested_at string"
@@ -54,6 +61,70 @@ def ingest_batch(spark: SparkSession, files: DataFrame, state: str, batch: int,
     return done
 
 
+LISTING_SCHEMA = "path string, length bigint, modificationTime timestamp"
+
+
+def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """``(path, length, modificationTime)`` of all files below a folder; contents are not read."""
+    if not _exists(spark, folder):
+        return spark.createDataFrame([], LISTING_SCHEMA)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    return files.select("path", "length", "modificationTime")
+
+
+def _cycles(spark: SparkSession, state: str, once: bool, interval: str, cycle: Callable[[int], None]) -> StreamingQuery:
+    """Run ``cycle(batch)`` once, or again and again."""
+    clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+    writer = clock.writeStream.foreachBatch(lambda _, batch: cycle(batch)).option("checkpointLocation", f"{state}/checkpoint")
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)
+    return writer.start()
+
+
+class Changes:
+    """What a cycle finds in a folder since the last one that took its changes."""
+
+    def __init__(self, spark: SparkSession, folder: str, state: str, batch: int, pattern: str = "*"):
+        self.spark, self.folder, self.pattern, self.stored = spark, folder, pattern, f"{state}/listing"
+        self.batch = batch
+        self.now = cut(list_files(spark, folder, pattern))
+        before = spark.createDataFrame([], LISTING_SCHEMA)
+        if _exists(spark, self.stored):
+            told = spark.read.schema(LISTING_SCHEMA + ", batch bigint").parquet(self.stored).where(F.col("batch") < batch)
+            # one number
+            last = told.agg(F.max("batch").alias("b")).first()["b"]
+            before = told.where(F.col("batch") == F.lit(last)).drop("batch") if last is not None else before
+        self.changed = cut(self.now.join(before, ["path", "length", "modificationTime"], "left_anti"))
+        self.gone = cut(before.select("path").join(self.now, "path", "left_anti"))
+        told = self.changed.agg(F.min("modificationTime").alias("first"), F.max("modificationTime").alias("last"), F.count(F.lit(1)).alias("n")).first()
+        self.first, self.last, self.any = told["first"], told["last"], bool(told["n"]) or not self.gone.isEmpty()
+
+    def settled(self, quiet: float) -> bool:
+        """Whether the newest change is ``quiet`` seconds old, so that no burst is split and no half-written file is read."""
+        return self.last is None or time.time() - self.last.timestamp() >= quiet
+
+    def files(self) -> DataFrame:
+        """New and changed files with their content; older ones are skipped by the reader."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", self.pattern)
+        if self.first is None:
+            return self.spark.createDataFrame([], FILE_SCHEMA)
+        return files.load(self.folder).where(F.col("modificationTime") >= F.lit(self.first)).join(self.changed.select("path"), "path", "left_semi")
+
+    def taken(self) -> None:
+        """Store the listing; a cycle that fails before is run again over the same changes."""
+        self.now.write.mode("overwrite").parquet(f"{self.stored}/batch={self.batch}")
+
+
+def _settled_changes(spark, folder, state, batch, once, quiet, pattern="*") -> Changes | None:
+    """Changes that have come to rest; a single pass waits for that, a running watch looks again in its next cycle."""
+    found = Changes(spark, folder, state, batch, pattern)
+    while found.any and not found.settled(quiet):
+        if not once:
+            return None
+        time.sleep(quiet)
+        found = Changes(spark, folder, state, batch, pattern)
+    return found if found.any else None
+
+
 def watch(
     spark: SparkSession,
     folder: str,
@@ -62,32 +133,33 @@ def watch(
     once: bool = False,
     interval: str = "2 seconds",
     html: bool = False,
+    settle_seconds: float = SETTLE_SECONDS,
 ) -> StreamingQuery:
-    """Ingest files as they appear in ``folder``; ``once`` runs a single pass and stops.
+    """Ingest files as they appear or change in ``folder``; ``once`` runs a single pass and stops.
 
+    A cycle starts when the folder has been quiet for ``settle_seconds``.
     ``on_batch(sources, batch)`` is called after each ingest; its failure is logged and
     does not stop the watch.  One query runs one batch at a time.
     """
-    stream = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).load(folder)
 
-    def run(batch_df: DataFrame, batch: int) -> None:
+    def cycle(batch: int) -> None:
+        found = _settled_changes(spark, folder, state, batch, once, settle_seconds)
+        if found is None:
+            return
         files = (
-            batch_df.withColumn("original_name", tx.basename(F.col("path")))
+            found.files().withColumn("original_name", tx.basename(F.col("path")))
             .where(~F.startswith("original_name", F.lit(".")))
             .select("original_name", "content", F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"))
         )
-        done = ingest_batch(batch_df.sparkSession, files, state, batch, html)
+        done = ingest_batch(spark, files, state, batch, html)
+        found.taken()
         if on_batch is not None:
             try:
                 on_batch(done, batch)
             except Exception as error:  # noqa: BLE001 - a failing follow-up must not stop the watch
-                batch_df.sparkSession.createDataFrame(
-                    [(batch, str(error)[:2000])], "batch bigint, message string"
-                ).write.mode("append").parquet(f"{state}/failures")
+                spark.createDataFrame([(batch, str(error)[:2000])], "batch bigint, message string").write.mode("append").parquet(f"{state}/failures")
 
-    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{state}/checkpoint")
-    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)
-    return writer.start()
+    return _cycles(spark, state, once, interval, cycle)
 
 
 def once_per_content(files: DataFrame, lateness: str = "1 hour") -> DataFrame:
@@ -135,12 +207,13 @@ def read_index(spark: SparkSession, state: str) -> PageIndex | None:
     return PageIndex(live.drop("batch"), *tables)
 
 
-def index_batch(spark: SparkSession, pages: DataFrame, state: str, batch: int, partial: bool = True) -> None:
+def index_batch(spark: SparkSession, pages: DataFrame, state: str, batch: int, partial: bool = True, removed: DataFrame | None = None) -> None:
     """Index the pages of a batch whose body hash changed.
 
     Only their rows are written, so a batch costs what it changes and not the size of
     the index.  With ``partial`` the batch holds new and changed pages only; otherwise it is
     the whole collection and pages missing from it are marked as deleted.
+    ``removed(page_path)`` names pages that went.
     """
     now = datetime.now(timezone.utc).isoformat()
     pages = cut(pages)
@@ -154,6 +227,8 @@ def index_batch(spark: SparkSession, pages: DataFrame, state: str, batch: int, p
         diff = cut(diff_pages(pages, stored_here))
         fresh = pages.join(diff.where("change in ('added','updated')").select("page_path"), "page_path", "left_semi")
         gone = diff.where("change = 'deleted'").select("page_path")
+        if removed is not None:
+            gone = gone.unionByName(stored.select("page_path").join(removed.select("page_path"), "page_path", "left_semi")).distinct()
     built = build_index(fresh, now)
     if gone is not None:
         none = F.lit(None).cast("string")
@@ -164,21 +239,20 @@ def index_batch(spark: SparkSession, pages: DataFrame, state: str, batch: int, p
     write_index(built, state, batch)
 
 
-def index_stream(spark: SparkSession, wiki: str, state: str, once: bool = False, interval: str = "2 seconds") -> StreamingQuery:
-    """Index page files as they appear or change below ``wiki``."""
-    stream = (
-        spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
-        .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(wiki)
-    )
+def index_stream(
+    spark: SparkSession, wiki: str, state: str, once: bool = False, interval: str = "2 seconds", settle_seconds: float = SETTLE_SECONDS
+) -> StreamingQuery:
+    """Keep the index of the page files below ``wiki``: new, changed and removed ones."""
 
-    def run(batch_df: DataFrame, batch: int) -> None:
-        newest = batch_df.select(
-            F.concat(F.lit("wiki/"), F.regexp_extract("path", r"/wiki/(.*)$", 1)).alias("page_path"),
-            utf8(F.col("content")).alias("text"), "modificationTime",
-        )
-        files = newest.groupBy("page_path").agg(F.max_by("text", "modificationTime").alias("text"))
-        index_batch(batch_df.sparkSession, parse_pages(files), state, batch)
+    def page(path: str):
+        return F.concat(F.lit("wiki/"), F.regexp_extract(path, r"/wiki/(.*)$", 1)).alias("page_path")
 
-    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{state}/checkpoint")
-    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)
-    return writer.start()
+    def cycle(batch: int) -> None:
+        found = _settled_changes(spark, wiki, state, batch, once, settle_seconds, "*.md")
+        if found is None:
+            return
+        files = found.files().select(page("path"), utf8(F.col("content")).alias("text"))
+        index_batch(spark, parse_pages(files), state, batch, removed=found.gone.select(page("path")))
+        found.taken()
+
+    return _cycles(spark, state, once, interval, cycle)

@@ -83,17 +83,44 @@ def test_watch_ingests_each_content_once(spark, folder):
     assert ("c.md", "skipped") in log and ("d.md", "ingested") in log
 
 
-def test_index_stream_updates_changed_pages(spark, folder):
+def test_index_stream_follows_edits_and_deletions(spark, folder):
     wiki, state = f"{folder}/wiki/concepts", f"{folder}/state"
-    drop(wiki, a__md=b"# A\n\nold words", b__md=b"# B\n\nsteady")
-    wt.index_stream(spark, f"{folder}/wiki", state, once=True).awaitTermination()
+    index = lambda: wt.index_stream(spark, f"{folder}/wiki", state, once=True).awaitTermination()
+    drop(wiki, a__md=b"# A\n\nold words", b__md=b"# B\n\nsteady", d__md=b"# D\n\ndoomed")
+    index()
     first = {r["page_path"]: r["content_hash"] for r in wt.read_index(spark, state).index.collect()}
-    drop(wiki, c__md=b"# C\n\nfresh")
-    wt.index_stream(spark, f"{folder}/wiki", state, once=True).awaitTermination()
+    drop(wiki, a__md=b"# A\n\nedited words", c__md=b"# C\n\nfresh")
+    os.remove(f"{wiki}/d.md")
+    index()
     second = wt.read_index(spark, state)
     rows = {r["page_path"]: r["content_hash"] for r in second.index.collect()}
-    assert set(rows) == {f"wiki/concepts/{x}.md" for x in "abc"} and rows["wiki/concepts/a.md"] == first["wiki/concepts/a.md"]
-    assert {r["doc_id"] for r in second.postings.where("term = 'fresh'").collect()} == {"wiki/concepts/c.md"}
+    assert set(rows) == {f"wiki/concepts/{x}.md" for x in "abc"}
+    assert rows["wiki/concepts/a.md"] != first["wiki/concepts/a.md"] and rows["wiki/concepts/b.md"] == first["wiki/concepts/b.md"]
+    terms = {(r["doc_id"][-4], r["term"]) for r in second.postings.collect()}
+    assert {("a", "edited"), ("b", "steady"), ("c", "fresh")} <= terms and not {("a", "old"), ("d", "doomed")} & terms
+    assert {r["doc_id"][-4] for r in second.vectors.select("doc_id").collect()} == {"a", "b", "c"}
+    index()  # nothing changed: nothing is written
+    assert wt.read_index(spark, state).postings.count() == second.postings.count()
+
+
+def test_watch_sees_a_name_again(spark, folder):
+    inbox, state = f"{folder}/drop", f"{folder}/state"
+    for text in (b"one", b"two!", b"two!"):
+        drop(inbox, a__md=text)
+        wt.watch(spark, inbox, state, once=True, settle_seconds=0.2).awaitTermination()
+    assert wt.read_ledger(spark, state).count() == 2
+
+
+def test_half_written_burst_waits(spark, folder):
+    drop(f"{folder}/drop", a__md=b"one")
+    found = wt.Changes(spark, f"{folder}/drop", f"{folder}/state", 0)
+    assert found.any and not found.settled(3600) and found.settled(0)
+
+
+def test_index_batch_of_a_whole_collection(spark, folder):
+    state = f"{folder}/state"
+    pages = lambda *rows: pg.parse_pages(spark.createDataFrame([(f"wiki/concepts/{n}.md", t) for n, t in rows], "page_path string, text string"))
+    wt.index_batch(spark, pages(("a", "# A\n\nold words"), ("b", "# B\n\nsteady"), ("c", "# C\n\nfresh")), state, 0)
     # a whole collection without b, and with a changed
     frame = pg.parse_pages(spark.createDataFrame([("wiki/concepts/a.md", "# A\n\nnew words"), ("wiki/concepts/c.md", "# C\n\nfresh")], "page_path string, text string"))
     for _ in range(2):  # running a batch again changes nothing
