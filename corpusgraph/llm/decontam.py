@@ -202,11 +202,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     passes = max(1, -(-total // PASS_CHARS))
-    columns = [c for c in docs.columns if c not in ("doc_id", "text")] if keep else []
-    out = docs.select("doc_id", "text", *columns)
-    hits = None if keep else F.array().cast("array<long>")
-    if not keep:
-        out = out.select(F.col("doc_id").cast("long").alias("doc_id"), "text", hits.alias("item_ids"), F.lit(0.0).alias("similarity"))
+    if keep:
+        out = docs.select("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    else:
+        out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("similarity"))
     for i in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i)
         shared = spark.sparkContext.broadcast(BenchmarkIndex([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").toLocalIterator()], threshold))

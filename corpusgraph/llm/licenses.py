@@ -73,10 +73,10 @@ def _join(op: str, a: Expression, b: Expression) -> Expression:
 
 
 def evaluate(text: str) -> Expression | None:
-    """Value of the longest leading licence expression, or None where there is none.
+    """Value of the licence expression that a text begins with, or None where there is none.
 
     Two stacks: values and waiting operators; WITH binds before AND, AND before OR.
-    Reading stops at the first word that cannot follow; an unclosed bracket is no expression.
+    Reading stops at the first word that cannot follow; what is unfinished there is no expression.
     """
     values: list[Expression] = []
     waiting: list[str] = []
@@ -141,8 +141,8 @@ def read_notice(text: str, phrases: ahocorasick.Automaton) -> Notice:
     ``score`` grows with the evidence: 0 without any, one half for one phrase.
     """
     words = text.encode().translate(_FOLD).split()
-    line = " ".join(w.decode("latin-1") for w in words) if len(words) < 8 else b" ".join(words).decode("latin-1")
-    line = f" {line} "
+    # one sign for each byte, so that the automaton needs no decoding
+    line = f" {b' '.join(words).decode('latin-1')} "
     places, labels, evidence, tagged = [], set(), 0.0, False
     for end, (kind, label, size) in phrases.iter(line):
         if kind == "base":
