@@ -130,6 +130,10 @@ def with_degree(entities: DataFrame, relationships: DataFrame) -> DataFrame:
     )
 
 
+def report_id(level: Column, cluster: Column) -> Column:
+    return F.xxhash64(level, cluster)
+
+
 def embed_graph(
     entities: DataFrame, units: DataFrame, reports: DataFrame | None = None, embedder=None, dim: int = DIM
 ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
@@ -140,5 +144,5 @@ def embed_graph(
     u = embed(units.select("text_unit_id", "text"), "text_unit_id", "text", embedder, dim)
     r = None
     if reports is not None:
-        r = embed(reports.select("report_id", F.concat_ws("\n", "title", "summary").alias("text")), "report_id", "text", embedder, dim)
+        r = embed(reports.select(report_id(F.col("level"), F.col("cluster")).alias("report_id"), F.concat_ws("\n", "title", "summary").alias("text")), "report_id", "text", embedder, dim)
     return e, u, r

@@ -112,10 +112,6 @@ def parse_reports(answers: DataFrame) -> DataFrame:
     )
 
 
-def report_id(level: Column, cluster: Column) -> Column:
-    return F.xxhash64(level, cluster)
-
-
 def upsert_reports(
     communities: DataFrame,
     entities: DataFrame,

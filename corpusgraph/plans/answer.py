@@ -14,7 +14,7 @@ from ..functions import text as tx
 from ..operators.completions import Completer, complete, with_cache_key
 from ..operators.edges import global_row_number
 from ..operators.hybrid import blend, candidate_limit
-from ..operators.merge import units_for_entities
+from ..operators.merge import report_id, units_for_entities
 from ..operators.postings import bm25, build_postings, corpus_stats
 from ..operators.reports import number_text, outer_object
 from ..operators.traverse import k_hop, spread
@@ -301,14 +301,22 @@ def top_reports(questions: DataFrame, graph: Graph, limit: int = DRIFT_REPORTS)
     """``(question_id, level, cluster, title, summary, rank)``: by cosine, else by words found in the report.
 
     Without vectors a report is scored by how many distinct question words occur
-    in it as substrings; reports without any such word still fill up the list.
+    in it as substrings; reports without any such word still fill up the list.  With
+    vectors, a report that has none counts as a cosine of 0.
     """
     reports = graph.reports
     if graph.report_vectors is not None:
+        known = reports.withColumn("report_id", report_id(F.col("level"), F.col("cluster")))
         best = nearest(
             question_vectors(questions), graph.report_vectors.select(F.col("report_id").alias("doc_id"), "vector"), limit
-        )
-        return best.select("question_id", F.col("doc_id").alias("report_id"), "rank").join(reports, "report_id")
+        ).select("question_id", F.col("doc_id").alias("report_id"), "cosine")
+        bare = known.join(graph.report_vectors.select("report_id"), "report_id", "left_anti").orderBy("level", "cluster").limit(limit)
+        # at most ``limit`` ids for every question
+        fill = F.array(*[F.lit(r["report_id"]) for r in bare.select("report_id").collect()]).cast("array<bigint>")
+        filled = questions.select("question_id", F.explode(fill).alias("report_id"), F.lit(0.0).alias("cosine"))
+        in_order = Window.partitionBy("question_id").orderBy(F.desc("cosine"), "level", "cluster")
+        ranked = best.unionByName(filled).join(known, "report_id").withColumn("rank", F.row_number().over(in_order))
+        return ranked.where(F.col("rank") <= limit).drop("cosine")
     return _lexical_reports(questions, reports, limit)
 
 
@@ -398,9 +406,9 @@ def drift_search(
         .join(follow.select("follow_id", "question_id", "n"), "follow_id")
         .select("question_id", "n", "pos", "title")
     )
-    citations = cited.groupBy("question_id", "title").agg(F.min(F.struct("n", "pos")).alias("at")).select(
-        "question_id", ((F.col("at.n") + 1).cast("long") * 1_000_000_000 + F.coalesce(F.col("at.pos"), F.lit(0))).alias("pos"), "title"
-    )
+    first = cited.groupBy("question_id", "title").agg(F.min(F.struct("n", "pos")).alias("at"))
+    in_order = Window.partitionBy("question_id").orderBy("at.n", "at.pos", "title")
+    citations = first.select("question_id", F.row_number().over(in_order).cast("long").alias("pos"), "title")
     return Answers(answers, citations, tree, sub.cache)
 
 
@@ -462,25 +470,40 @@ def page_answers(
     return Answers(answers, citations, hits, done.cache)
 
 
+class Dispatched(NamedTuple):
+    """Answers of all modes, their citations ``(question_id, pos, title)``, the rows behind them by mode, and one cache."""
+
+    answers: DataFrame
+    citations: DataFrame
+    details: dict[str, DataFrame]
+    cache: DataFrame
+
+
 def answer(
     questions: DataFrame, graph: Graph, page_hits, pages: DataFrame, cache: DataFrame, completer: Completer | None = None,
     model: str = "mock", recent: str = "",
-) -> DataFrame:
-    """``questions(question_id, text, mode)`` through their modes: ``(question_id, text, mode, used_model)``.
+) -> Dispatched:
+    """``questions(question_id, text, mode)`` through their modes.
 
     ``page_hits`` is a function from questions to page hits, used for legacy questions.
+    Every mode starts from the cache that the one before it left, so no completion is asked for twice.
     """
     resolved = cut(resolve_mode(questions, not graph.entities.isEmpty()))
     used = {r["resolved"] for r in resolved.select("resolved").distinct().collect()}  # at most five values
     runs = {
-        "local": lambda q: local_search(q, graph, cache, completer, model),
-        "activation": lambda q: activation_search(q, graph, cache, completer, model),
-        "global": lambda q: global_search(q, graph, cache, completer, model),
-        "drift": lambda q: drift_search(q, graph, cache, completer, model),
-        "legacy": lambda q: page_answers(q, page_hits(q), pages, cache, completer, model, recent),
+        "local": lambda q, c: local_search(q, graph, c, completer, model),
+        "activation": lambda q, c: activation_search(q, graph, c, completer, model),
+        "global": lambda q, c: global_search(q, graph, c, completer, model),
+        "drift": lambda q, c: drift_search(q, graph, c, completer, model),
+        "legacy": lambda q, c: page_answers(q, page_hits(q), pages, c, completer, model, recent),
     }
-    out = None
+    schema = f"question_id {questions.schema['question_id'].dataType.simpleString()}, "
+    spark = questions.sparkSession
+    answers = spark.createDataFrame([], schema + "text string, mode string, used_model boolean")
+    citations = spark.createDataFrame([], schema + "pos bigint, title string")
+    details = {}
     for mode in sorted(used):
-        part = runs[mode](resolved.where(F.col("resolved") == mode).select("question_id", "text")).answers
-        out = part if out is None else out.unionByName(part)
-    return out
+        part = runs[mode](resolved.where(F.col("resolved") == mode).select("question_id", "text"), cache)
+        answers, citations = answers.unionByName(part.answers), citations.unionByName(part.citations)
+        details[mode], cache = part.details, cut(part.cache)
+    return Dispatched(answers, citations, details, cache)

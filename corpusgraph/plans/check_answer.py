@@ -279,4 +279,4 @@ def answer(spark, sf):
     stats = cut(ps.corpus_stats(d, postings))
     return an.answer(
         q, graph(spark, sf), lambda qs: ps.bm25(qs, postings, stats, 8), p, _cache(spark), fixture_completer
-    )
+    ).answers

@@ -226,7 +226,8 @@ def eigenvector_orders(spark, sf):
 @register("eigenvector_pages")
 def eigenvector_pages(spark, sf):
     nodes, edges = _page_entities(spark, sf)
-    return ce.eigenvector(edges, nodes, tolerance=1e-6).scores
+    c = ce.eigenvector(edges, nodes)
+    return c.scores.withColumn("converged", F.lit(c.converged))
 
 
 _DEG = {"deg": """SELECT entity_id, count(*) AS degree FROM (SELECT source_id AS entity_id FROM rel_v UNION ALL SELECT target_id FROM rel_v
