@@ -12,7 +12,7 @@ from .edges import Adjacency, symmetric
 # Iteration cap and stop threshold.
 MAX_ITERATIONS = 500
 TOLERANCE = 1e-10
-STEPS_PER_PLAN = 10
+STEPS_PER_PLAN = 25
 
 
 class Centrality(NamedTuple):
