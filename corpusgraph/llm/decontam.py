@@ -14,13 +14,14 @@ holds a whole window of W that begins at a multiple of eight, so W is 16 where t
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut
 from .words import _STEP, hashed, mix, shingled
 
 SHINGLE_WORDS = 5
@@ -45,6 +46,42 @@ def window_size(m: int) -> int:
     return next((w for w in (16, 8) if run >= w + STRIDE - 1), 1)
 
 
+def weighted_window_size(weights: np.ndarray) -> int:
+    """:func:`window_size` of an item whose shingles weigh differently.
+
+    A changed word costs the weights of the shingles that it touches.  A window size will do
+    when leaving no unedited run for it costs more than similarity 0.8 allows.
+    """
+    m = len(weights)
+    if not m or (weights == weights[0]).all():
+        return window_size(m)
+    total = np.concatenate([[0.0], np.cumsum(weights)]).tolist()
+    allowed = total[-1] * (1 - THRESHOLD) / (1 + THRESHOLD) + 1e-9
+    for w in (16, 8):
+        run = w + STRIDE - 1
+        if m < run:
+            continue
+        # cheapest[j]: edits of which the last touches the shingles up to j, with no unedited run before
+        cheapest, least = [], deque()
+        for j in range(m + SHINGLE_WORDS - 1):
+            start, end = max(0, j - SHINGLE_WORDS + 1), min(j, m - 1)
+            cost = 0.0
+            if start >= run:
+                while least[0] < start - run:
+                    least.popleft()
+                cost = cheapest[least[0]]
+            cost += total[end + 1] - total[start]
+            for i in range(start, min(j, m)):  # the edit before touches some of the same shingles
+                cost = min(cost, cheapest[i] + total[end + 1] - total[i + 1])
+            cheapest.append(cost)
+            while least and cheapest[least[-1]] >= cost:
+                least.pop()
+            least.append(j)
+        if min(cheapest[m - run :]) > allowed:
+            return w
+    return 1
+
+
 def _fingerprints(counts: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(2 * counts.astype(np.int16) > size, axis=1).view(np.uint64).ravel()
 
@@ -113,10 +150,22 @@ class Item(NamedTuple):
 
 
 def similarity(item: Item, passage: np.ndarray) -> float:
-    """Weighted multiset Jaccard similarity; a shingle weighs one over the items that hold it."""
+    """Weighted multiset Jaccard similarity; a shingle weighs one over the item texts that hold it.
+
+    A foreign shingle of the passage weighs what the item's missing shingles do on average.
+    """
     a, b = Counter(item.shingles.tolist()), Counter(passage.tolist())
-    both = sum(min(n, b[s]) * item.weights.get(s, 1.0) for s, n in a.items() if s in b)
-    every = sum(max(n, b.get(s, 0)) * item.weights.get(s, 1.0) for s, n in a.items()) + sum(n for s, n in b.items() if s not in a)
+    both = every = lost = 0.0
+    n_lost = 0
+    for s, n in a.items():
+        weight, there = item.weights[s], b.get(s, 0)
+        both += min(n, there) * weight
+        every += max(n, there) * weight
+        lost += max(n - there, 0) * weight
+        n_lost += max(n - there, 0)
+    foreign = sum(n for s, n in b.items() if s not in a)
+    if foreign:
+        every += foreign * (lost / n_lost if n_lost else sum(n * item.weights[s] for s, n in a.items()) / len(item.shingles))
     return both / every
 
 
@@ -129,27 +178,29 @@ def _runs(words: np.ndarray, k: int) -> np.ndarray:
 
 
 class BenchmarkIndex:
-    """Items of one pass, ready for search in the workers."""
+    """Items of one pass, ready for search in the workers.
+
+    ``holders`` counts the item texts of the whole benchmark that hold a shingle, where there are several.
+    """
 
-    def __init__(self, rows: list[tuple[int | None, str | None]], threshold: float = THRESHOLD):
+    def __init__(self, rows: list[tuple[int | None, str | None]], threshold: float, holders: dict[int, int]):
         self.threshold, self.items, self.short = threshold, [], {}
-        parsed, holders = [], Counter()
+        parsed = []
         for first, words, bounds in hashed(pa.array([t for _, t in rows], pa.string())):
             shingles, ends = shingled(words, bounds, SHINGLE_WORDS)
             for i in range(len(bounds) - 1):
                 s = shingles[ends[i] : ends[i + 1]]
                 parsed.append((rows[first + i][0], s, int(bounds[i + 1] - bounds[i])))
-                holders.update(set(s.tolist()))
         entries: dict[int, list] = {}
         for item_id, s, n in parsed:
             if not n:
                 continue
             item = len(self.items)
-            self.items.append(Item(item_id, s, {x: 1 / holders[x] for x in s.tolist()}))
+            self.items.append(Item(item_id, s, {x: 1 / holders.get(x, 1) for x in s.tolist()}))
             if n < SHINGLE_WORDS:
                 self.short.setdefault(n, {}).setdefault(int(s[0]), []).append(item)
                 continue
-            size = window_size(len(s))
+            size = weighted_window_size(np.array([1 / holders.get(x, 1) for x in s.tolist()]))
             prints = item_windows(s, size)
             entries.setdefault(size, []).append((prints, np.full(len(prints), item), np.arange(len(prints))))
         self.indexes = {}
@@ -190,6 +241,24 @@ class BenchmarkIndex:
         return found
 
 
+def _shingle_rows(texts: DataFrame) -> DataFrame:
+    """``(shingle)``: the different shingles of each text."""
+
+    def run(batches):
+        for batch in batches:
+            for _, words, bounds in hashed(batch.column(0)):
+                shingles, ends = shingled(words, bounds, SHINGLE_WORDS)
+                for i in range(len(bounds) - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles[ends[i] : ends[i + 1]]).view(np.int64))], ["shingle"])
+
+    return texts.mapInArrow(run, "shingle long")
+
+
+def shared_shingles(items: DataFrame) -> DataFrame:
+    """``(shingle, n)`` of the shingles that several different item texts hold."""
+    return _shingle_rows(items.select("text").distinct()).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
     """``(doc_id, item_ids, similarity)``, a row for each row of ``docs``: the items it holds, in order, and the best similarity.
 
@@ -206,9 +275,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         out = docs.select("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")])
     else:
         out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("similarity"))
+    held = shared_shingles(items)
+    if passes > 1:
+        held = cut(held)
     for i in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i)
-        shared = spark.sparkContext.broadcast(BenchmarkIndex([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").toLocalIterator()], threshold))
+        # at most the shingles of one pass
+        told = (held if passes == 1 else held.join(_shingle_rows(part.select("text")).distinct(), "shingle")).toArrow()
+        holders = dict(zip(told.column("shingle").to_numpy().astype(np.int64).view(np.uint64).tolist(), told.column("n").to_pylist(), strict=True))
+        rows = [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").toLocalIterator()]
+        shared = spark.sparkContext.broadcast(BenchmarkIndex(rows, threshold, holders))
         out = out.mapInArrow(_clean(shared) if keep else _told(shared), out.schema)
     return out.select(*docs.columns) if keep else out.drop("text")
 

@@ -188,6 +188,38 @@ def test_decontamination_in_passes_and_without_items(spark, edge_docs, no_docs,
     assert decontam.contaminated(no_docs, benchmark, keep=True).columns == no_docs.columns
 
 
+@pytest.mark.parametrize("most", [decontam.PASS_CHARS, 400])
+def test_edited_copies_of_repeated_and_shared_items(spark, monkeypatch, most):
+    monkeypatch.setattr(decontam, "PASS_CHARS", most)
+    rng = random.Random(8)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    twice, four, shared, outside = words(59), words(94), words(40), words(300)
+    items = [(i, " ".join(twice)) for i in (1, 2)] + [(10 + i, " ".join(four) + " \n"[: i % 2] * i) for i in range(4)]
+    own = [words(60) for _ in range(3)]
+    items += [(20 + i, " ".join(shared + w)) for i, w in enumerate(own)]
+    changed = lambda w, at: " ".join([*outside[:50], *w[:at], "changed", *w[at + 1 :], *outside[50:99]])
+    rows = [(1, changed(twice, 29)), (2, changed(four, 40)), (3, changed(shared + own[1], 20)), (4, changed(shared + own[1], 70))]
+    rows += [(5, " ".join(shared + outside[:60])), (6, " ".join(outside)), (7, changed([*shared[:20], "x", *shared[21:], *own[0]], 30))]
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {r["doc_id"]: r for r in got.collect()}
+    assert {d: r["item_ids"] for d, r in found.items()} == {1: [1, 2], 2: [10, 11, 12, 13], 3: [21], 4: [21], 5: [], 6: [], 7: [20]}
+    assert found[1]["similarity"] == pytest.approx(50 / 60) and found[2]["similarity"] == pytest.approx(85 / 95)
+
+
+def test_weighted_items_keep_a_run():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        m = int(rng.integers(15, 200))
+        weights = 1 / rng.choice([1, 2, 9, 40], 4)[np.sort(rng.integers(0, 4, m))]
+        size = decontam.weighted_window_size(weights)
+        for _ in range(40):
+            edits, clear = rng.integers(0, m + 4, rng.integers(0, 8)), np.ones(m, bool)
+            for e in edits.tolist():
+                clear[max(0, e - 4) : e + 1] = False
+            if size > 1 and weights[~clear].sum() <= weights.sum() / 9 and (weights != weights[0]).any():
+                assert max(map(len, "".join(".x"[c] for c in clear.astype(int)).split("."))) >= size + decontam.STRIDE - 1
+
+
 def test_hamming_index_is_complete():
     rng = np.random.default_rng(3)
     stored = rng.integers(0, 1 << 63, 200, np.uint64)
