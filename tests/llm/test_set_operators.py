@@ -146,6 +146,17 @@ def test_repeated_lines_go(edge_docs, edge_rows, no_docs):
     assert linedup.without_repeats(no_docs).count() == 0
 
 
+def test_short_lines_repeat_and_boilerplate_goes(spark, tmp_path):
+    rows = [(i, f"menu\n\n}}\n{'rare' if i < 3 else f'own {i}'}\nA line of document number {'abcdefghijklmnop'[i] * 9}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op5_lines(spark, str(tmp_path)).collect()}
+    assert got[0]["n_repeated"] == 0 and got[1]["n_repeated"] == 3 and got[5]["n_repeated"] == 2 and not any(r["n_links"] for r in got.values())
+    assert got[2]["first_docs"] == [0, None, 0, 0, 2]
+    kept = {r["doc_id"]: r["text"].split("\n")[:-1] for r in linedup.without_repeats(docs).collect()}
+    assert kept[0] == ["menu", "", "}", "rare"] and kept[1] == ["", "rare"] and kept[5] == ["", "own 5"]
+
+
 def items_of(spark):
     rows = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     return rows + [(900, None), (901, ""), (902, rows[0][1]), (903, "zig zag zog"), (904, rows[1][1].upper() + " more words at the end of it")]
