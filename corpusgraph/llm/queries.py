@@ -112,7 +112,7 @@ def op3_classlm(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def op5_lines(spark: SparkSession, sf: str) -> DataFrame:
     docs = linedup.hashed_text(_table(spark, sf, "documents").select("doc_id", "text"))
-    told = linedup.line_classes(docs, least=1)
+    told = linedup.line_classes(docs, least=1, share=linedup.WORD_SHARE)
     return told.select(
         "doc_id", F.size("lines").cast("long").alias("n_lines"),
         F.size(F.filter("lines", lambda x: ~x["first"])).cast("long").alias("n_repeated"),

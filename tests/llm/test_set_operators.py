@@ -157,6 +157,33 @@ def test_short_lines_repeat_and_boilerplate_goes(spark, tmp_path):
     assert kept[0] == ["menu", "", "}", "rare"] and kept[1] == ["", "rare"] and kept[5] == ["", "own 5"]
 
 
+def test_lines_with_changed_words_are_near(spark, tmp_path):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(400)] + ["日", "本語"]
+    texts = []
+    for n in (14, 16, 25, 40, 59, 90, 300):
+        for gap in " ", "":  # words, and a script without gaps
+            w = rng.choices(vocabulary, k=n) if gap else [chr(0x4E00 + rng.randrange(500)) for _ in range(n)]
+            texts.append(gap.join(w))
+            for changes in (1, n // 12, n // 12 + 1, n // 9):
+                x = list(w)
+                for k in range(changes):  # far apart, as bad as may be
+                    at = (k + 1) * len(w) // (changes + 1) if rng.random() < 0.7 else rng.randrange(len(x))
+                    x[at : at + rng.randrange(2)] = rng.choice([[], ["changed" if gap else "変"], ["changed" if gap else "変"]])
+                texts.append(gap.join(x))
+    texts = sorted({x for x in texts if len(x) >= 20})
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = [linedup._spaced(x).encode().split() for x in texts]
+    want = collections.Counter()
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            n = min(len(words[i]), len(words[j]))
+            if linedup.within(a, b, 2) or n >= 16 and abs(len(words[i]) - len(words[j])) <= n // 12 and distance(words[i], words[j]) <= n // 12:
+                want.update([i, j])
+    got = {r["doc_id"]: r["n_links"] for r in queries.op5_lines(spark, str(tmp_path)).collect()}
+    assert got == {i: want[i] for i in range(len(texts))} and sum(n > 0 for n in want.values()) > 40
+
+
 def items_of(spark):
     rows = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     return rows + [(900, None), (901, ""), (902, rows[0][1]), (903, "zig zag zog"), (904, rows[1][1].upper() + " more words at the end of it")]
