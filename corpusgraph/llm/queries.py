@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, classlm, decontam, fingerprints, jaccard, licenses, linedup, secrets, shards, toxicity
+from . import bpe, classlm, conversations, decontam, fingerprints, jaccard, licenses, linedup, secrets, shards, toxicity
 from .words import crc_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,77 @@ def op5_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + x["n_links"]).alias("n_links"),
         F.transform("lines", lambda x: x["first_doc"]).alias("first_docs"),
     )
+
+
+@_query
+def op11_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    report = conversations.repair_report(conversations.damaged(_table(spark, sf, "conversations")), copies="copies")
+    return report.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def _cheapest(options: list[tuple[str, int, str, str]]) -> str:
+    """SQL of the least key of some ways on: (condition, cost, letters, key of the rest)."""
+    # a key is nine digits of cost and the audit, so keys compare as texts
+    one = "CASE WHEN {} THEN lpad(CAST(CAST({}[1:9] AS BIGINT) + {} AS VARCHAR), 9, '0') || '{}' || {}[10:] END"
+    return f"least({', '.join(one.format(when, rest, cost, letters, rest) for when, cost, letters, rest in options)})"
+
+
+def _repair_steps() -> tuple[str, str]:
+    """SQL columns of the best ways on from each state through a row, and with messages inserted before it."""
+    need, fine = {"0": "u", "1": "u", "2": "a", "3": "u"}, "f IN ('', 't')"
+    through, before = [], []
+    for state, want in need.items():
+        options = [("true", 4, "D", f"k{state}")]
+        for extra, mark in ((0, ""), (3, "t")):
+            to = "3" if want == "a" else "2"
+            options += [(f"f = '{mark}' AND role[1:1] = '{want}'", extra, "K", f"k{to}"), (f"f = '{mark}'", 3 + extra, "R", f"k{to}")]
+            if state == "0":
+                options.append((f"f = '{mark}' AND role[1:1] = 's'", extra, "K", "k1"))
+        through.append(f"{_cheapest(options)} AS e{state}")
+        once, twice = ("3", "2") if want == "a" else ("2", "3")
+        before.append(f"{_cheapest([('true', 0, '', f'e{state}'), ('true', 3, 'I', f'e{once}'), ('true', 6, 'II', f'e{twice}')])} AS k{state}")
+    return ", ".join(through), ", ".join(before)
+
+
+_THROUGH, _BEFORE = _repair_steps()
+ORACLES["op11_conversations"] = rf"""
+WITH RECURSIVE d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS k FROM conversations
+), c AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) % 20 AS kind FROM d
+), m AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM c, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS u(copy)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+    regexp_extract(text, '(?s)([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS l FROM m
+), r AS (
+  SELECT *, lead(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) AS after,
+    CASE WHEN l = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN l NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS f FROM o
+), s AS (
+  SELECT conv_id, n AS i, '000000000' AS k0, '000000006II' AS k1, '000000003I' AS k2, '000000000' AS k3 FROM r WHERE i = 1
+  UNION ALL
+  SELECT conv_id, i - 1, {_BEFORE} FROM (SELECT s.conv_id, s.i, {_THROUGH} FROM s JOIN r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i) AS e
+), a AS (SELECT conv_id, CAST(k0[1:9] AS BIGINT) AS cost, k0[10:] AS audit FROM s WHERE i = 0),
+t AS (
+  SELECT conv_id, p, audit[p:p] AS edit, length(replace(audit[1:p], 'I', '')) AS i, length(replace(audit[1:p], 'D', '')) AS place
+  FROM a, unnest(range(1, length(audit) + 1)) AS u(p)
+), w AS (
+  SELECT t.*, r.role, r.text, max(CASE WHEN edit = 'K' AND place = 1 AND r.role[1:1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY t.conv_id) AS shift
+  FROM t LEFT JOIN r ON edit <> 'I' AND r.conv_id IS NOT DISTINCT FROM t.conv_id AND r.i = t.i
+), h AS (
+  SELECT conv_id, string_agg(CASE edit WHEN 'K' THEN role ELSE CASE (place - shift) % 2 WHEN 1 THEN 'user' ELSE 'assistant' END END
+    || ':' || CASE edit WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS said
+  FROM w WHERE edit <> 'D' GROUP BY conv_id
+), g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate,
+    count(*) FILTER (f = 't') AS truncated, count(*) FILTER (after IS NOT NULL AND concat(role[1:1], after) NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id
+)
+SELECT q.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM q.conv_id
+  LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM q.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM q.conv_id
+"""

@@ -90,3 +90,7 @@ def distance(a, b):
 
 def crc(doc_id):
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode())
+
+
+def crc32(text):
+    return zlib.crc32(text.encode())
