@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, classlm, conversations, decontam, fingerprints, jaccard, licenses, linedup, secrets, shards, toxicity
+from . import bpe, classlm, conversations, decontam, fingerprints, jaccard, licenses, linedup, repetition, secrets, shards, toxicity
 from .words import crc_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,39 @@ SELECT q.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM q.conv_id
   LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM q.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM q.conv_id
 """
+
+
+@_query
+def op12_repetition(spark: SparkSession, sf: str) -> DataFrame:
+    told = repetition.repetition(_table(spark, sf, "documents"))
+    return told.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words",
+        (F.col("longest_repeat") > repetition.MOST_LONGEST).alias("long_repeat"),
+    )
+
+
+def _windows(n: int) -> str:
+    """SQL of the words of each document that lie in windows of ``n`` words found twice in it."""
+    return f"""SELECT doc_id, count(DISTINCT p) AS n FROM (
+      SELECT doc_id, unnest(range(i, i + {n})) AS p FROM (
+        SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS times FROM (
+          SELECT doc_id, i, array_to_string(words[i:i + {n - 1}], ' ') AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - {n - 2})) AS i FROM w WHERE len(words) >= {n})))
+      WHERE times > 1) GROUP BY doc_id"""
+
+
+# a repeat of n words or more covers just the repeated windows of n words
+ORACLES["op12_repetition"] = rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), r AS ({_windows(repetition.WINDOW_WORDS)}), c AS ({_windows(repetition.REPEAT_WORDS)}), l AS ({_windows(repetition.MOST_LONGEST + 1)}),
+d AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), t AS (
+  SELECT w.doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(d.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+    coalesce(c.n, 0) AS covered_words, l.n IS NOT NULL AS long_repeat
+  FROM w LEFT JOIN d USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)
+), f AS (SELECT *, n_words < {repetition.LEAST_WORDS} OR 100 * n_repeat_words > {repetition.MOST_REPEATED_PERCENT} * n_words AS base_failed FROM t)
+SELECT *, NOT base_failed AND 100 * covered_words <= {repetition.MOST_COVERED_PERCENT} * n_words AND NOT long_repeat AS kept FROM f
+"""
