@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, classlm, conversations, decontam, fingerprints, jaccard, licenses, linedup, repetition, secrets, shards, toxicity
+from . import alignment, bpe, classlm, conversations, decontam, fingerprints, jaccard, licenses, linedup, repetition, secrets, shards, toxicity
 from .words import crc_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,3 +229,15 @@ d AS (
 ), f AS (SELECT *, n_words < {repetition.LEAST_WORDS} OR 100 * n_repeat_words > {repetition.MOST_REPEATED_PERCENT} * n_words AS base_failed FROM t)
 SELECT *, NOT base_failed AND 100 * covered_words <= {repetition.MOST_COVERED_PERCENT} * n_words AND NOT long_repeat AS kept FROM f
 """
+
+
+def pieces() -> str:
+    """The model file of the piece tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@_query
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.alignment(_table(spark, sf, "documents"), vocabulary(), pieces())
