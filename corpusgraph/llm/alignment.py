@@ -13,6 +13,7 @@ most links fall on come as a table of fixed size, all others by a join.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from functools import cache
 
@@ -89,6 +90,8 @@ class ByteLevel:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # Spark fills the cores with tasks; threads of the library's own would only contend with them
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.library.no_padding()
