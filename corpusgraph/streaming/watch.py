@@ -110,8 +110,16 @@ class Changes:
         return files.load(self.folder).where(F.col("modificationTime") >= F.lit(self.first)).join(self.changed.select("path"), "path", "left_semi")
 
     def taken(self) -> None:
-        """Store the listing; a cycle that fails before is run again over the same changes."""
+        """Store the listing; a cycle that fails before is run again over the same changes.
+
+        The listing before it stays for such a rerun, older ones go.
+        """
         self.now.write.mode("overwrite").parquet(f"{self.stored}/batch={self.batch}")
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.stored)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        told = sorted((int(s.getPath().getName().removeprefix("batch=")), s.getPath()) for s in files.listStatus(root) if s.getPath().getName().startswith("batch="))
+        for _, old in told[:-2]:
+            files.delete(old, True)
 
 
 def _settled_changes(spark, folder, state, batch, once, quiet, pattern="*") -> Changes | None:
@@ -239,6 +247,20 @@ def index_batch(spark: SparkSession, pages: DataFrame, state: str, batch: int, p
     write_index(built, state, batch)
 
 
+def cycles_over_changes(
+    spark: SparkSession, folder: str, state: str, handle: Callable[[Changes, int], None], once: bool, interval: str, quiet: float, pattern: str = "*"
+) -> StreamingQuery:
+    """Call ``handle(changes, batch)`` whenever the folder changed and came to rest; the changes count as taken when it returns."""
+
+    def cycle(batch: int) -> None:
+        found = _settled_changes(spark, folder, state, batch, once, quiet, pattern)
+        if found is not None:
+            handle(found, batch)
+            found.taken()
+
+    return _cycles(spark, state, once, interval, cycle)
+
+
 def index_stream(
     spark: SparkSession, wiki: str, state: str, once: bool = False, interval: str = "2 seconds", settle_seconds: float = SETTLE_SECONDS
 ) -> StreamingQuery:
@@ -247,12 +269,8 @@ def index_stream(
     def page(path: str):
         return F.concat(F.lit("wiki/"), F.regexp_extract(path, r"/wiki/(.*)$", 1)).alias("page_path")
 
-    def cycle(batch: int) -> None:
-        found = _settled_changes(spark, wiki, state, batch, once, settle_seconds, "*.md")
-        if found is None:
-            return
+    def handle(found: Changes, batch: int) -> None:
         files = found.files().select(page("path"), utf8(F.col("content")).alias("text"))
         index_batch(spark, parse_pages(files), state, batch, removed=found.gone.select(page("path")))
-        found.taken()
 
-    return _cycles(spark, state, once, interval, cycle)
+    return cycles_over_changes(spark, wiki, state, handle, once, interval, settle_seconds, "*.md")
