@@ -29,20 +29,36 @@ def merge_entities(mentions: DataFrame, order: tuple[str, ...] = ORDER) -> DataF
     text, or one equal to everything gathered so far, changes nothing; any other is
     appended after a blank.  Runs of equal text are first counted inside contiguous
     ranges of the order and the fold then walks runs, which gives the same string: a
-    run on top of its own text is absorbed, any other run is appended whole.  An
-    entity with a third of all mentions is thus reduced in every range in parallel.
+    run on top of its own text is absorbed, any other run is appended whole.
+
+    Only a description that is no longer than an entity's longest text can absorb.  A run
+    that is not absorbed adds two characters or more, and of two runs in a range one is not,
+    so so many runs settle the matter; behind them nothing is absorbed any more and the
+    runs of each range join to one piece, in parallel.  An entity with a third
+    of all mentions is thus reduced in every range, and only pieces meet.
     """
     used = mentions.select("title", "type", "description", *order)
     ranged = cut(_ranges(used, order))
     spoken = ranged.where(F.coalesce("description", F.lit("")) != "")
-    w = Window.partitionBy("title", "type", "range").orderBy(*order)
+    key = ["title", "type"]
+    w = Window.partitionBy(*key, "range").orderBy(*order)
     runs = (
         spoken.withColumn("prev", F.lag("description").over(w))
         .withColumn("new_run", (F.col("prev").isNull() | (F.col("prev") != F.col("description"))).cast("int"))
         .withColumn("run", F.sum("new_run").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("title", "type", "range", "run")
+        .groupBy(*key, "range", "run")
         .agg(F.first("description").alias("text"), F.count(F.lit(1)).cast("int").alias("times"))
     )
+    # one row for each entity and range
+    counts = cut(runs.groupBy(*key, "range").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("text")).alias("longest")))
+    earlier = Window.partitionBy(*key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*key)
+    bounds = counts.select(
+        *key, "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
+        (F.max("longest").over(whole) + F.count(F.lit(1)).over(whole) + 2).alias("settled"), F.sum("n").over(whole).alias("runs"),
+    )
+    many = cut(bounds.where(F.col("runs") > F.col("settled")).drop("runs"))
+    placed = runs.join(many, [*key, "range"], "left").withColumn("late", F.coalesce(F.col("before") + F.col("run") > F.col("settled"), F.lit(False)))
     folded = F.aggregate(
         F.array_sort(F.collect_list(F.struct("range", "run", "text", "times"))),
         F.lit(""),
@@ -50,10 +66,14 @@ def merge_entities(mentions: DataFrame, order: tuple[str, ...] = ORDER) -> DataF
             F.concat(acc, F.repeat(F.concat(F.lit(" "), r["text"]), r["times"]))
         ),
     )
-    texts = runs.groupBy("title", "type").agg(folded.alias("description"))
+    heads = placed.where(~F.col("late")).groupBy(*key).agg(folded.alias("head"))
+    piece = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text", "times"))), lambda r: F.repeat(F.concat(F.lit(" "), r["text"]), r["times"])), "")
+    pieces = placed.where("late").groupBy(*key, "range").agg(piece.alias("piece"))
+    tails = pieces.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "piece"))), lambda p: p["piece"]), "").alias("tail"))
+    texts = heads.join(tails, key, "left").select(*key, F.concat("head", F.coalesce("tail", F.lit(""))).alias("description"))
     return (
-        ranged.select("title", "type").distinct()
-        .join(texts, ["title", "type"], "left")
+        ranged.select(*key).distinct()
+        .join(texts, key, "left")
         .select(
             entity_id(F.col("title"), F.col("type")).alias("entity_id"),
             "title",

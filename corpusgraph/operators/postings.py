@@ -2,24 +2,31 @@
 
 BM25 after Robertson and Zaragoza (2009), k1 = 1.2, b = 0.75.  Ranking works on a
 whole table of questions: question terms meet the postings once, however many
-questions there are.  The per-question top-k is a ``row_number`` filter, which
-Spark pushes below the shuffle, so a question made of frequent words never moves
-all of its matches to one task.
+questions there are.  Bounds of each term's contribution (Turtle and Flood, 1995) leave
+documents out that match frequent words alone.  The per-question top-k is a ``row_number``
+filter, which Spark pushes below the shuffle, so no pair of question and document moves
+unless it is among the best of its part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as tx
 from ..functions.porter import porter_stem
+from ..session import cut
 
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
 SCORE_DECIMALS = 6
+# Sums that differ by less may round to one score, where the id decides.
+ROUNDING = 1e-6
+# Question terms whose weights all tasks hold at once.
+BLOCK_TERMS = 200_000
 
 
 @F.pandas_udf(T.StringType())
@@ -96,21 +103,41 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.greatest(F.log((n_docs - df + 0.5) / (df + 0.5)), F.lit(IDF_FLOOR))
 
 
-def bm25_scores(terms: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
-    """Score of every matching (question, document) pair; a higher score is better."""
-    n_docs = stats.select("n_docs").scalar()
-    avgdl = stats.select("avgdl").scalar()
-    wanted = terms.select("term").distinct()
-    frequencies = term_stats(postings.join(wanted, "term", "left_semi"))
-    weights = terms.join(frequencies, "term").select(
-        "question_id", "term", (F.col("qtf") * idf(n_docs, F.col("df"))).alias("w")
-    )
+def impact(stats: DataFrame) -> Column:
+    """What a posting adds to a score per unit of its term's weight: grows with ``tf``, shrinks with length."""
     tf = F.col("tf").cast("double")
-    part = F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / stats.select("avgdl").scalar()))
+
+
+def term_bounds(postings: DataFrame, k: int) -> DataFrame:
+    """``(term, df, most, kth)`` of ``postings(term, impact)``: largest impact, and the ``k``-th largest (null below ``k`` postings)."""
+    whole = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("most"))
+    w = Window.partitionBy("term").orderBy(F.desc("impact"))
+    best = postings.select("term", "impact").withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
+    kth = best.groupBy("term").agg(F.min("impact").alias("least"), F.max("n").alias("n")).where(F.col("n") == k)
+    return whole.join(kth.select("term", F.col("least").alias("kth")), "term", "left")
+
+
+def term_weights(terms: DataFrame, bounds: DataFrame, n_docs: Column) -> DataFrame:
+    """Weights of question terms, and which of them a document must hold to rank.
+
+    ``k`` documents score at least ``floor``: the best product of a term's weight and its
+    ``k``-th impact.  Terms are taken from the least possible contribution on; while even
+    all of them together stay below the floor they are not ``essential``, and a document
+    that matches nothing else is out.  ``rest`` is the most that those terms can add.
+    """
+    w = F.col("qtf") * idf(n_docs, F.col("df"))
+    by_question = Window.partitionBy("question_id")
+    rising = by_question.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
+    essential = F.coalesce(F.col("so_far") + ROUNDING >= F.col("floor"), F.lit(True))
     return (
-        postings.join(weights, "term")
-        .groupBy("question_id", "doc_id")
-        .agg(F.round(F.sum(part), SCORE_DECIMALS).alias("score"))
+        terms.join(bounds, "term")
+        .select("question_id", "term", w.alias("w"), (w * F.col("most")).alias("bound"), (w * F.col("kth")).alias("held"))
+        .withColumn("floor", F.max("held").over(by_question))
+        .withColumn("so_far", F.sum("bound").over(rising))
+        .withColumn("essential", essential)
+        .withColumn("rest", F.coalesce(F.sum(F.when(~F.col("essential"), F.col("bound"))).over(by_question), F.lit(0.0)))
+        .select("question_id", "term", "w", "floor", "essential", "rest")
     )
 
 
@@ -128,8 +155,34 @@ def bm25(
     analyzer: str = "plain",
     mode: str = "ascii",
 ) -> DataFrame:
-    """``(question_id, doc_id, score, rank)``; a question without terms has no rows."""
-    return top_k(bm25_scores(query_terms(questions, analyzer, mode), postings, stats), k)
+    """``(question_id, doc_id, score, rank)``; a question without terms has no rows.
+
+    Postings of wanted terms are dealt by document once, however many questions there
+    are; scores are summed, and the best ``k`` of each part found, where the postings lie.  Only
+    documents with an essential term are scored, and of those only the ones that could
+    still reach the floor meet the other terms.  Weights of at most ``BLOCK_TERMS`` question
+    terms are shipped to all tasks at a time.
+    """
+    terms = cut(query_terms(questions, analyzer, mode))
+    wanted = terms.select("term").distinct()
+    matching = postings.join(wanted, "term", "left_semi").select("doc_id", "term", impact(stats).alias("impact"))
+    dealt = matching.repartition("doc_id")
+    weights = cut(term_weights(terms, term_bounds(matching, k), stats.select("n_docs").scalar()))
+    blocks = -(-weights.count() // BLOCK_TERMS) or 1
+    tops = [_block_top(dealt, weights.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i), k) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, tops)
+
+
+def _block_top(dealt: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    key = ["question_id", "doc_id"]
+    must = F.broadcast(weights.where("essential").drop("essential"))
+    may = F.broadcast(weights.where(~F.col("essential")).select("question_id", "term", "w"))
+    part = F.sum(F.col("w") * F.col("impact")).alias("part")
+    seen = dealt.join(must, "term").groupBy(*key).agg(part, F.first("rest").alias("rest"), F.first("floor").alias("floor"))
+    open_ = seen.where(F.coalesce(F.col("part") + F.col("rest") + ROUNDING >= F.col("floor"), F.lit(True))).select(*key, "part")
+    more = open_.select(*key).join(dealt, "doc_id").join(may, ["question_id", "term"]).select(*key, (F.col("w") * F.col("impact")).alias("part"))
+    scores = open_.unionByName(more).groupBy(*key).agg(F.round(F.sum("part"), SCORE_DECIMALS).alias("score"))
+    return top_k(scores, k)
 
 
 SNIPPET_TOKENS = 12

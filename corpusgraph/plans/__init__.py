@@ -2,7 +2,7 @@
 
 
 def _load():
-    from . import catalog, check_answer, check_extract, check_graph, check_maintain, check_pages, check_privacy, check_search, check_sources  # noqa: F401
+    from . import catalog, check_answer, check_extract, check_graph, check_maintain, check_pages, check_privacy, check_search, check_sources, check_upkeep  # noqa: F401
 
     return catalog
 

@@ -285,14 +285,14 @@ _VISIBLE = {
     "exp": "SELECT page_path AS id FROM pages_v WHERE tag = 'stub'",
     "base": """SELECT id FROM top UNION SELECT id FROM exp UNION SELECT target FROM pedges WHERE source IN (SELECT id FROM exp)
                UNION SELECT source FROM pedges WHERE target IN (SELECT id FROM exp)""",
-    "shown": "SELECT * FROM viz WHERE id IN (SELECT id FROM base) AND type IN ('concept', 'source') AND community IN (1, 2, 3, 5, 8)",
+    "shown": "SELECT * FROM viz WHERE id IN (SELECT id FROM base) AND type IN ('concept', 'entity') AND community IN (0, 1, 2, 3, 5, 8)",
 }
 
 
 def _visible(spark, sf):
     nodes, edges = _viz(spark, sf)
     exp = inputs.view(spark, sf, "pages_v").where("tag = 'stub'").select(F.col("page_path").alias("id"))
-    return vw.visible_graph(nodes, edges, 150, exp, ("concept", "source"), (1, 2, 3, 5, 8))
+    return vw.visible_graph(nodes, edges, 150, exp, ("concept", "entity"), (0, 1, 2, 3, 5, 8))
 
 
 @register("visible_nodes", with_views("pages_v", **_VISIBLE) + "SELECT id, type, community FROM shown")
