@@ -56,6 +56,16 @@ def got(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
+def test_ids_are_those_of_the_library(tokenizers):
+    """The faster way gives the library's ids; texts that it cannot take go to the library."""
+    first = tokenizers[0]
+    rng = random.Random(11)
+    signs = [*" \n\t\x0b\x1c\x1d\x85\xa0\u180e\u200b\u2028\u3000'", "'s", "'LL", "Ⅷ", "²", "é", "́", "🎉", "日本", "ab", "1", "_", "<|endoftext|>", "the ", "ſ"]
+    every = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(3000)] + texts() + [" " * 5000 + "x", "x" * 5000, "\n \n" * 900]
+    assert first.ranks is not None
+    assert first.ids(every) == [x.ids for x in first.library.encode_batch([" " + t for t in every], add_special_tokens=False)]
+
+
 def test_groups_are_the_common_ends():
     rng = random.Random(1)
     for _ in range(2000):
