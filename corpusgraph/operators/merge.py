@@ -123,17 +123,26 @@ def entity_sources(links: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def units_for_entities(wanted: DataFrame, links: DataFrame, units: DataFrame, limit: int = 20, key: str = "question_id") -> DataFrame:
-    """Per key, the first ``limit`` distinct units of its entities, by page and chunk."""
-    w = Window.partitionBy(key).orderBy("page_path", "chunk_index")
-    return (
-        wanted.select(key, "entity_id")
-        .join(links, "entity_id")
-        .select(key, "text_unit_id")
-        .distinct()
-        .join(units.select("text_unit_id", "page_path", "chunk_index", "text"), "text_unit_id")
-        .withColumn("nth", F.row_number().over(w))
+    """Per key, the first ``limit`` distinct units of its entities, by page and chunk.
+
+    Of an entity's units only its own first ``limit`` can be among them, so a hub brings no more
+    than any other entity to the keys that name it; texts are fetched for the chosen units alone.
+    """
+    order = ("page_path", "chunk_index")
+    named = wanted.select(key, "entity_id").distinct()
+    places = units.select("text_unit_id", *order)
+    own = (
+        links.select("entity_id", "text_unit_id").join(named.select("entity_id").distinct(), "entity_id", "left_semi").distinct()
+        .join(places, "text_unit_id")
+        .withColumn("nth", F.row_number().over(Window.partitionBy("entity_id").orderBy(*order)))
+        .where(F.col("nth") <= limit).drop("nth")
+    )
+    chosen = (
+        named.join(own, "entity_id").select(key, "text_unit_id", *order).distinct()
+        .withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
         .where(F.col("nth") <= limit)
     )
+    return chosen.join(units.select("text_unit_id", "text"), "text_unit_id")
 
 
 def degree(relationships: DataFrame) -> DataFrame:

@@ -21,7 +21,10 @@ SECRET_PATTERNS = (
 SECRET_SCORE = 0.95
 # Fixed value: characters per window handed to a model detector.
 WINDOW_CHARS = 2500
-MAX_PATTERNS = 10_000
+# Patterns that one function holds.
+BLOCK_PATTERNS = 10_000
+# Windows whose lengths are summed up together.
+RUN_WINDOWS = 256
 
 _SPAN = "struct<type:string,start:int,end:int,score:double>"
 
@@ -32,12 +35,76 @@ def secret_patterns(spark: SparkSession) -> DataFrame:
     )
 
 
-def _pattern_list(patterns: DataFrame) -> list[tuple[str, str, float]]:
-    """The pattern table is configuration; its size is checked before it is shipped."""
-    rows = patterns.select("type", "pattern", "score").limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} patterns")
-    return [(r["type"], r["pattern"], float(r["score"])) for r in rows]
+Pattern = tuple[str, str, float]
+
+
+def _pattern_blocks(patterns: DataFrame) -> list[list[Pattern]]:
+    """The pattern table, which is configuration, in the blocks that are shipped one to a function."""
+    rows = [(r["type"], r["pattern"], float(r["score"])) for r in patterns.select("type", "pattern", "score").toLocalIterator()]
+    return [rows[i : i + BLOCK_PATTERNS] for i in range(0, len(rows), BLOCK_PATTERNS)] or [[]]
+
+
+def required_literal(pattern: str) -> str:
+    """The longest run of characters that every match of ``pattern`` holds; empty where none is certain."""
+    from re import _constants as c, _parser
+
+    tree = _parser.parse(pattern)
+    if tree.state.flags & re.IGNORECASE:
+        return ""
+    runs = [""]
+
+    def walk(items):
+        for kind, what in items:
+            if kind is c.LITERAL:
+                runs[-1] += chr(what)
+            elif kind is c.SUBPATTERN and not what[1] & re.IGNORECASE:
+                walk(what[3])
+            elif kind in (c.MAX_REPEAT, c.MIN_REPEAT) and what[0] > 0:
+                runs.append("")
+                walk(what[2])
+                runs.append("")
+            elif kind is not c.AT:
+                runs.append("")
+
+    walk(tree)
+    return max(runs, key=len)
+
+
+class PatternSet:
+    """Many patterns over one text: an automaton of their literals tells which can match at all; only those are tried.
+
+    A pattern is compiled when a text first holds its literal, so a worker knows the ones it has met.
+    """
+
+    def __init__(self, patterns: list[Pattern]):
+        import ahocorasick
+
+        self.patterns = patterns
+        self.compiled: dict[int, re.Pattern] = {}
+        literals: dict[str, list[int]] = {}
+        for i, (_, pattern, _) in enumerate(patterns):
+            literals.setdefault(required_literal(pattern), []).append(i)
+        self.always = literals.pop("", [])
+        self.automaton = ahocorasick.Automaton()
+        for literal, owners in literals.items():
+            self.automaton.add_word(literal, owners)
+        self.automaton.make_automaton()
+
+    def candidates(self, text: str) -> list[int]:
+        found = set(self.always)
+        if len(self.automaton):
+            for _, owners in self.automaton.iter(text):
+                found.update(owners)
+        return sorted(found)
+
+    def spans(self, text: str) -> list[dict]:
+        out = []
+        for i in self.candidates(text):
+            type_, pattern, score = self.patterns[i]
+            if i not in self.compiled:
+                self.compiled[i] = re.compile(pattern)
+            out += [{"type": type_, "start": m.start(), "end": m.end(), "score": score} for m in self.compiled[i].finditer(text) if m.end() > m.start()]
+        return out
 
 
 def _echoes(text: str, spans: list[dict]) -> list[dict]:
@@ -53,20 +120,15 @@ def _echoes(text: str, spans: list[dict]) -> list[dict]:
     return [s for s in out if (s["start"], s["end"]) not in known]
 
 
-def _span_udf(patterns: list[tuple[str, str, float]], echoes: bool = False):
+def _span_udf(patterns: list[Pattern], echoes: bool = False):
     @F.pandas_udf(f"array<{_SPAN}>")
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        compiled = [(t, re.compile(p), s) for t, p, s in patterns]
+        known = PatternSet(patterns)
 
         def find(text):
             if not text:
                 return []
-            found = [
-                {"type": t, "start": m.start(), "end": m.end(), "score": s}
-                for t, rx, s in compiled
-                for m in rx.finditer(text)
-                if m.end() > m.start()
-            ]
+            found = known.spans(text)
             return found + _echoes(text, found) if echoes and found else found
 
         for batch in batches:
@@ -75,18 +137,21 @@ def _span_udf(patterns: list[tuple[str, str, float]], echoes: bool = False):
     return spans
 
 
+def found_spans(patterns: DataFrame, text: str, echoes: bool = False) -> Column:
+    """All spans of a text column, whatever the number of patterns; one pass for each ``BLOCK_PATTERNS``."""
+    return F.concat(*[_span_udf(block, echoes)(text) for block in _pattern_blocks(patterns)])
+
+
 def detect_spans(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``(id, type, start, end, score)`` of every pattern match in the whole text."""
-    find = _span_udf(_pattern_list(patterns))
-    return docs.select(id_col, F.explode_outer(find("text")).alias("s")).where("s is not null").select(id_col, "s.type", "s.start", "s.end", "s.score")
+    found = docs.select(id_col, F.explode_outer(found_spans(patterns, "text")).alias("s"))
+    return found.where("s is not null").select(id_col, "s.type", "s.start", "s.end", "s.score")
 
 
 def count_spans(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Matches per type, counted without leaving the JVM: ``(type, n)``."""
-    known = _pattern_list(patterns)
-    counts = docs.select(*[F.sum(F.regexp_count("text", F.lit(p))).alias(f"n{i}") for i, (_, p, _) in enumerate(known)])
-    told = F.array(*[F.struct(F.lit(t).alias("type"), F.col(f"n{i}").cast("long").alias("n")) for i, (t, _, _) in enumerate(known)])
-    return counts.select(F.explode(told).alias("c")).groupBy("c.type").agg(F.sum("c.n").alias("n"))
+    """Matches per type: ``(type, n)``; a type without any has 0."""
+    found = docs.select(F.explode_outer(found_spans(patterns, "text")).alias("s")).where("s is not null").groupBy("s.type").agg(F.count(F.lit(1)).alias("n"))
+    return patterns.select("type").distinct().join(found, "type", "left").select("type", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _tiling(size: int) -> str:
@@ -101,13 +166,23 @@ def window_text(docs: DataFrame, size: int = WINDOW_CHARS, id_col: str = "doc_id
     ``(id, offset, chunk)``; the chunks of a text put together are the text.
     """
     tiles = docs.select(id_col, F.regexp_extract_all("text", F.lit(_tiling(size)), F.lit(0)).alias("tiles"))
+    # lengths summed up in runs of windows, so that a place needs few additions however long the text
+    lengths = F.transform("tiles", lambda c: F.char_length(c))
+    counted = tiles.withColumn("sizes", lengths).withColumn(
+        "runs", F.transform(F.sequence(F.lit(0), F.floor(F.size("tiles") / RUN_WINDOWS).cast("int")), lambda r: _total(F.slice("sizes", r * RUN_WINDOWS + 1, RUN_WINDOWS)))
+    )
+    run = lambda i: F.floor(i / RUN_WINDOWS).cast("int")
     placed = F.transform(
         "tiles",
         lambda c, i: F.struct(
-            F.aggregate(F.slice("tiles", 1, i), F.lit(0), lambda n, x: n + F.char_length(x)).alias("offset"), c.alias("chunk")
+            (_total(F.slice("runs", 1, run(i))) + _total(F.slice("sizes", run(i) * RUN_WINDOWS + 1, i % RUN_WINDOWS))).alias("offset"), c.alias("chunk")
         ),
     )
-    return tiles.select(id_col, F.explode(placed).alias("w")).select(id_col, "w.offset", "w.chunk")
+    return counted.select(id_col, F.explode(placed).alias("w")).select(id_col, "w.offset", "w.chunk")
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda n, x: n + x)
 
 
 def remap_spans(window_spans: DataFrame) -> DataFrame:
@@ -181,8 +256,7 @@ def redact(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id") -> DataFra
 
 def redact_turns(turns: DataFrame, patterns: DataFrame, id_col: str) -> DataFrame:
     """Redact in place, one row per turn; equal values share a token within the turn, whatever their case."""
-    find = _span_udf(_pattern_list(patterns), echoes=True)
-    found = turns.withColumn("spans", find("text"))
+    found = turns.withColumn("spans", found_spans(patterns, "text", echoes=True))
     return found.select(id_col, _replace_udf(True)("text", "spans").alias("r")).select(
         id_col, F.col("r.text").alias("text"), _token_map(F.col("r.tokens")).alias("turn_map")
     )

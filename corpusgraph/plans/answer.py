@@ -110,8 +110,15 @@ def gather_context(wanted: DataFrame, graph: Graph, max_chars: int = CONTEXT_CHA
         "question_id", F.lit(1).alias("block"), "nth",
         F.concat(F.lit("Text unit ("), F.col("page_path"), F.lit("#"), F.col("chunk_index").cast("string"), F.lit("): "), F.col("text")).alias("line"),
     )
+    # an entity's first claims are all that it can bring
+    named = graph.claims.withColumn("entity_id", F.explode(F.array_compact(F.array_distinct(F.array("subject_id", "object_id")))))
+    own = (
+        named.join(ids.select("entity_id").distinct(), "entity_id", "left_semi")
+        .withColumn("nth", F.row_number().over(Window.partitionBy("entity_id").orderBy("claim_id")))
+        .where(F.col("nth") <= CONTEXT_ROWS).drop("nth")
+    )
     touching = (
-        ids.join(graph.claims.withColumn("entity_id", F.explode(F.array_compact(F.array_distinct(F.array("subject_id", "object_id"))))), "entity_id")
+        ids.join(own, "entity_id")
         .select("question_id", "claim_id", "status", "type", "description")
         .distinct()
         .withColumn("nth", F.row_number().over(Window.partitionBy("question_id").orderBy("claim_id")))

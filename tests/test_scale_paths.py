@@ -2,9 +2,12 @@
 
 import math
 import random
+import re
 
 import pytest
-from corpusgraph.operators import merge as mg, postings as ps, traverse as tv
+from pyspark.sql import functions as F
+
+from corpusgraph.operators import merge as mg, postings as ps, privacy as pv, traverse as tv
 
 
 def ranked(docs, questions, k):
@@ -138,3 +141,65 @@ def test_descriptions_of_hot_entities(spark):
         want.setdefault(title, []).append(text or "")
     got = {r["title"]: r["description"] for r in mg.merge_entities(df.repartition(6)).collect()}
     assert got == {t: folded(x) for t, x in want.items()}
+
+
+@pytest.mark.parametrize(
+    ("pattern", "literal"),
+    [
+        (r"\bsk-[A-Za-z0-9]{20,}\b", "sk-"), (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "PRIVATE KEY-----"), (r"\bgh[pousr]_[a-z]+", "gh"), (r"[a-z]+", ""), (r"(?i)abc", ""),
+        (r"a|b", ""), (r"x(?:abc)?yz", "yz"), (r"(ab)+cde", "cde"), (r"(abcd)+c", "abcd"), (r"a(b(c))d", "abcd"), (r"(?:foo|bar)qux", "qux"), (r"ab*cd", "cd"), (r"q(?=never)xyz", "xyz"),
+        (r"x(?i:abcdef)yz", "yz"),
+    ],
+)
+def test_literals_that_a_match_must_hold(pattern, literal):
+    assert pv.required_literal(pattern) == literal
+
+
+def test_twenty_thousand_patterns(spark, monkeypatch):
+    """No refusal, all matches, and only patterns whose literal stands in a text are compiled."""
+    monkeypatch.setattr(pv, "BLOCK_PATTERNS", 7000)
+    table = [(f"K{i % 5}", rf"\bkey{i}-[a-z]+", 0.5) for i in range(20_000)] + [("ANY", r"\d{7}", 0.4), ("I", r"(?i)secret\w", 0.3)]
+    patterns = spark.createDataFrame(table, "type string, pattern string, score double")
+    texts = [(1, "has key17-abc and key19999-z, key17- and xkey5-a"), (2, "1234567 SECRETs"), (3, None), (4, ""), (5, "key17-q key17-r key1999-s")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["type"], r["start"], r["end"]) for r in pv.detect_spans(df, patterns).collect())
+    hit = [(t, re.compile(p)) for t, p, _ in table if p in {rf"\bkey{i}-[a-z]+" for i in (1, 5, 7, 17, 19, 199, 1999, 19999)} or t in ("ANY", "I")]
+    assert got == sorted((d, t, m.start(), m.end()) for d, x in texts for t, p in hit for m in p.finditer(x or ""))
+    counts = {r["type"]: r["n"] for r in pv.count_spans(df, patterns).collect()}
+    assert counts == {"K2": 3, "K4": 2, "K0": 0, "K1": 0, "K3": 0, "ANY": 1, "I": 1}
+    known = pv.PatternSet(table)
+    known.spans(texts[0][1])
+    assert len(known.compiled) <= 2 + 2 * len(re.findall(r"key\d+", texts[0][1])) + 8
+
+
+def test_windows_of_a_long_text(spark):
+    """Ten million characters: every window's place is the sum of those before it."""
+    text = ("word " * 399 + "last\n") * 5000
+    df = spark.createDataFrame([(1, text), (2, ""), (3, "short")], "doc_id long, text string")
+    rows = sorted((r["doc_id"], r["offset"], r["chunk"]) for r in pv.window_text(df).collect())
+    at = 0
+    for doc, offset, chunk in rows:
+        if doc == 1:
+            assert offset == at and text[at : at + len(chunk)] == chunk
+            at += len(chunk)
+    assert at == len(text) and rows[-1] == (3, 0, "short")
+
+
+def test_units_of_a_hub(spark):
+    """Every question names a hub with thousands of units; each gets the first of all its entities'."""
+    rng = random.Random(12)
+    links = [(u, 1) for u in range(3000)] + [(rng.randrange(3000), e) for e in range(2, 40) for _ in range(30)]
+    units = [(u, f"p{rng.randrange(50):02d}", u, f"t{u}") for u in range(3000)]
+    wanted = [(q, e) for q in range(20) for e in (1, rng.randrange(2, 40), rng.randrange(2, 40))]
+    got = mg.units_for_entities(
+        spark.createDataFrame(wanted, "question_id long, entity_id long"), spark.createDataFrame(links, "text_unit_id long, entity_id long"),
+        spark.createDataFrame(units, "text_unit_id long, page_path string, chunk_index int, text string"), 5,
+    )
+    place = {u: (p, c, u, t) for u, p, c, t in units}
+    of = {}
+    for u, e in links:
+        of.setdefault(e, set()).add(u)
+    for q in range(20):
+        mine = sorted(place[u] for u in {u for x, e in wanted if x == q for u in of[e]})[:5]
+        told = sorted((r["nth"], r["page_path"], r["chunk_index"], r["text_unit_id"], r["text"]) for r in got.where(F.col("question_id") == q).collect()) if q < 3 else None
+        assert told is None or told == [(i + 1, *m) for i, m in enumerate(mine)]
