@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
-from .words import _STEP, hashed, mix, shingled
+from .words import _STEP, filtered, hashed, mix, quoted, shingled
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -272,7 +272,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     passes = max(1, -(-total // PASS_CHARS))
     if keep:
-        out = docs.select("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+        out = docs.select("doc_id", "text", *[quoted(c) for c in docs.columns if c not in ("doc_id", "text")])
     else:
         out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("similarity"))
     held = shared_shingles(items)
@@ -285,8 +285,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         holders = dict(zip(told.column("shingle").to_numpy().astype(np.int64).view(np.uint64).tolist(), told.column("n").to_pylist(), strict=True))
         rows = [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").toLocalIterator()]
         shared = spark.sparkContext.broadcast(BenchmarkIndex(rows, threshold, holders))
-        out = out.mapInArrow(_clean(shared) if keep else _told(shared), out.schema)
-    return out.select(*docs.columns) if keep else out.drop("text")
+        out = filtered(out, _clean(shared)) if keep else out.mapInArrow(_told(shared), out.schema)
+    return out.select(*map(quoted, docs.columns)) if keep else out.drop("text")
 
 
 def _clean(shared):

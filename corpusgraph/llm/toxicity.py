@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
-from .words import hashed, shingled
+from .words import filtered, hashed, shingled
 
 # Documented bounds of the fit: labelled rows, lexicon candidates, lexicon voters.
 FIT_ROWS, CANDIDATES, VOTERS = 20_000, 50_000, 192
@@ -290,4 +290,4 @@ def accepted(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame
             stay = [s < reject for s in _scores(m, batch.column(place).to_pylist(), voters)]
             yield batch.filter(pa.array(stay, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, run)

@@ -7,7 +7,7 @@ have equal hashes in every task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -151,6 +151,17 @@ def crc_of(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def quoted(name: str) -> Column:
+    """A top-level column by its very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def filtered(df: DataFrame, run: Callable) -> DataFrame:
+    """``df.mapInArrow`` for a function that only drops rows, whatever the columns are called."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def parts(df: DataFrame) -> int:
     """Partitions for a hand-made exchange."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

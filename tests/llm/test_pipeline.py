@@ -49,6 +49,20 @@ def test_stages_take_odd_tables(spark, edge_docs, no_docs, folder):
             docs = made if name != "encoding" else docs
 
 
+def test_stages_keep_columns_of_any_name_and_type(spark, folder):
+    """Dots and blanks in names, maps, missing usual columns, rows that differ in other columns only."""
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(f"{folder}/labels.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").limit(0).write.parquet(f"{folder}/benchmark.parquet")
+    line = "a line of some ten words that stands twice in all\n"
+    rows = [(i % 5, line + f"and words of its own {i // 2} " + " ".join(f"w{i // 2}{j}" for j in range(30)), {"k": i}, f"x{i}", None) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` map<string,int>, `c d` string, `row` array<map<string,int>>")
+    for name, stage in corpus_pipeline.STAGES:
+        made = cut(stage(spark, docs, folder))
+        assert name == "encoding" or (made.columns == docs.columns and made.count())
+        docs = made
+    assert docs.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and docs.count()
+
+
 def test_names_and_run(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_copies", "decontamination", "encoding"]
     assert corpus_pipeline.ORACLE_SQL is None and corpus_pipeline.run(spark, SF).columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"]
