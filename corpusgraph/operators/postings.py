@@ -25,6 +25,8 @@ IDF_FLOOR = 1e-6
 SCORE_DECIMALS = 6
 # Sums that differ by less may round to one score, where the id decides.
 ROUNDING = 1e-6
+# Levels of impact per unit; a power of two, so that edges are exact.
+LEVELS = 32
 # Question terms whose weights all tasks hold at once.
 BLOCK_TERMS = 200_000
 
@@ -110,19 +112,21 @@ def impact(stats: DataFrame) -> Column:
 
 
 def term_bounds(postings: DataFrame, k: int) -> DataFrame:
-    """``(term, df, most, kth)`` of ``postings(term, impact)``: largest impact, and the ``k``-th largest (null below ``k`` postings)."""
-    whole = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("most"))
-    w = Window.partitionBy("term").orderBy(F.desc("impact"))
-    best = postings.select("term", "impact").withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
-    kth = best.groupBy("term").agg(F.min("impact").alias("least"), F.max("n").alias("n")).where(F.col("n") == k)
-    return whole.join(kth.select("term", F.col("least").alias("kth")), "term", "left")
+    """``(term, df, most, kth)`` of ``postings(term, impact)``: largest impact, and one that ``k`` postings reach (null below ``k``).
+
+    Impacts are counted by level before anything moves; the lower edge of a level is the bound.
+    """
+    levels = postings.groupBy("term", F.floor(F.col("impact") * LEVELS).alias("level")).agg(F.count(F.lit(1)).alias("n"), F.max("impact").alias("most"))
+    higher = Window.partitionBy("term").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
+    reached = F.when(F.col("so_far") >= k, F.col("level") / LEVELS)
+    return levels.withColumn("so_far", F.sum("n").over(higher)).groupBy("term").agg(F.sum("n").alias("df"), F.max("most").alias("most"), F.max(reached).alias("kth"))
 
 
 def term_weights(terms: DataFrame, bounds: DataFrame, n_docs: Column) -> DataFrame:
     """Weights of question terms, and which of them a document must hold to rank.
 
     ``k`` documents score at least ``floor``: the best product of a term's weight and its
-    ``k``-th impact.  Terms are taken from the least possible contribution on; while even
+    impact that ``k`` postings reach.  Terms are taken from the least possible contribution on; while even
     all of them together stay below the floor they are not ``essential``, and a document
     that matches nothing else is out.  ``rest`` is the most that those terms can add.
     """
