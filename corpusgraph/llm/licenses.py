@@ -11,6 +11,7 @@ import re
 from typing import NamedTuple
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -49,6 +50,15 @@ FREEDOM = (
     ("cc0", 1.0), ("mit", 1.0), ("apache", 1.0), ("bsd", 1.0), ("isc", 1.0), ("bsl", 1.0), ("unlicense", 1.0), ("zlib", 1.0),
 )
 UNKNOWN_FREEDOM, EXCEPTION_GAIN = 0.4, 0.2
+# What may stand in an expression: a known family with its version or variant, a private reference, an exception after WITH.
+_IDENTIFIER = re.compile(
+    r"(?:(?:agpl|lgpl|gpl|gfdl|mpl|epl|eupl|cddl|cpl|osl|afl|apache|apsl|artistic|lppl|ofl|psf|zpl|cecill|bsl|busl|ms-[pr]l|upl|w3c|ecl)"
+    r"(?:-[0-9][0-9a-z.]*)?(?:-(?:only|or-later|clear|perl|clarified|no-copyleft-exception|2\.0))?"
+    r"|(?:0bsd|bsd(?:-[1-4]-clause(?:-[a-z]+)*)?|(?:python|php)-[0-9.]+|mit(?:-0|-modern-variant|-cmu)?|isc|zlib|libpng|unlicense|wtfpl|ncsa|postgresql|openssl|curl|x11|ruby|vim|beerware|blueoak-1\.0\.0)"
+    r"|cc0(?:-1\.0)?|cc-by(?:-n[cd]|-sa)*(?:-[0-9]\.[0-9])?"
+    r"|(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+)\+?"
+)
+_EXCEPTION = re.compile(r"[a-z0-9.+-]*exception[a-z0-9.-]*|llgpl|additionref-[a-z0-9.-]+")
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
@@ -76,7 +86,9 @@ def evaluate(text: str) -> Expression | None:
     """Value of the licence expression that a text begins with, or None where there is none.
 
     Two stacks: values and waiting operators; WITH binds before AND, AND before OR.
-    Reading stops at the first word that cannot follow; what is unfinished there is no expression.
+    Operands are known identifiers, private references and, after WITH, exceptions; sentence
+    points at their ends do not count.  Reading stops at the first word that cannot follow.  A
+    last operator before other words is prose; what else is unfinished there is no expression.
     """
     values: list[Expression] = []
     waiting: list[str] = []
@@ -92,11 +104,15 @@ def evaluate(text: str) -> Expression | None:
             if token == "(":
                 waiting.append(token)
                 depth += 1
-            elif token == ")" or word in _PRECEDENCE:
-                return None
-            else:
-                values.append(_leaf(token))
+            elif (_EXCEPTION if waiting and waiting[-1] == "with" else _IDENTIFIER).fullmatch(word.rstrip(".:")):
+                values.append(_leaf(word.rstrip(".:")))
+                operand = False
+            elif token != ")" and word not in _PRECEDENCE and not depth and waiting:
+                waiting.pop()
                 operand = False
+                break
+            else:
+                return None
         elif token == ")":
             if not depth:
                 break
@@ -143,10 +159,10 @@ def read_notice(text: str, phrases: ahocorasick.Automaton) -> Notice:
     words = text.encode().translate(_FOLD).split()
     # one sign for each byte, so that the automaton needs no decoding
     line = f" {b' '.join(words).decode('latin-1')} "
-    places, labels, evidence, tagged = [], set(), 0.0, False
+    starts, labels, evidence, tagged = [], set(), 0.0, False
     for end, (kind, label, size) in phrases.iter(line):
         if kind == "base":
-            places.append((line.count(" ", 0, end - size + 1), label))
+            starts.append((end - size + 1, label))
         if label:
             labels.add(label)
         tagged |= kind == "tag"
@@ -155,6 +171,9 @@ def read_notice(text: str, phrases: ahocorasick.Automaton) -> Notice:
     for v in values:
         labels |= v.labels
         evidence += 2.0
+    # a word's number is the number of blanks before its own
+    blanks = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32) if starts else np.zeros(0, np.int64)
+    places = [(int(n), label) for n, (_, label) in zip(np.searchsorted(blanks, [at for at, _ in starts]), starts, strict=True)]
     return Notice(len(words), places, frozenset(labels), 1 - 0.5**evidence, min((v.freedom for v in values), default=None))
 
 
@@ -167,7 +186,9 @@ SCHEMA = pa.schema(
 def licenses(docs: DataFrame) -> DataFrame:
     """A row for each row of ``docs(doc_id, text)``: base places, labels, score, and the freedom of its tagged expressions.
 
-    Null texts are empty: no words, no labels, score 0.  Places are null where no base
+    Null texts are empty: no words, no labels, score 0.  Long texts are read whole, in time
+    and memory proportional to their length.  Repeated rows have equal results, no rows in
+    give none out.  Places are null where no base
     phrase stands; ``freedom`` is null without an expression, else the least of several.
     """
 
