@@ -5,7 +5,7 @@ its id, and its home is the owner of the next point clockwise.  A full shard sen
 overflow on clockwise to the next shards, so loads are bounded exactly.  All rows between
 two points have the same way round the ring, so the placement is decided from one count
 per arc (``shards * points`` numbers, whatever the number of rows), and every row then
-needs only its rank within its arc.
+needs only its rank within its arc, which a range exchange over all rows gives.
 """
 
 from __future__ import annotations
@@ -13,13 +13,12 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.edges import global_row_number
 from ..session import cut
 
 RING_BITS = 60
-# Rows of an arc that are ranked together.
-RANK_ROWS = 50_000
 _CELLS = 256
 
 
@@ -77,7 +76,8 @@ def ring_shards(docs: DataFrame, shards: int = 8, points: int = 128, slack: floa
 
     ``slot`` counts a shard's rows from 0 without gaps.  A null text counts as empty, a null
     id has the place of an empty id.  Rows of one id share a home and part only when it is
-    full; equal rows take neighbouring slots.  No rows in, no rows out.
+    full; equal rows take neighbouring slots.  Texts of any length only give a size and a
+    checksum, other columns are not read.  No rows in, no rows out.
     """
     at = ring(shards, points)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -87,24 +87,22 @@ def ring_shards(docs: DataFrame, shards: int = 8, points: int = 128, slack: floa
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.conv(F.substring(key, 1, 15), 16, 10).cast("long").alias("place"),
+        F.monotonically_increasing_id().alias("seq"),
     )
     rows = cut(rows.withColumn("arc", _arc(F.col("place"), at)))
     counts = {r["arc"]: r["n"] for r in rows.groupBy("arc").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     pieces = place(counts, at, capacities(total, shards, slack))
+    # an arc's rows are neighbours in the order of all rows: its first number and a rank give a number
+    before, ahead = {}, 0
+    for arc in sorted(counts):
+        before[arc] = ahead
+        ahead += counts[arc]
     spark = docs.sparkSession
-    plan = spark.createDataFrame(pieces, "arc int, first long, n long, shard int, slot long").withColumnRenamed("arc", "of_arc")
+    plan = spark.createDataFrame([(a, before[a] + first, n, s, slot) for a, first, n, s, slot in pieces], "of_arc int, first long, n long, shard int, slot long")
     owners = F.array(*[F.lit(s) for _, s in at])
-    cells = max(1, -(-total // (len(at) * RANK_ROWS)))
-    # ranks run cell by cell, so that no window holds more than about RANK_ROWS rows
-    rows = rows.withColumn("cell", (F.col("place") % F.lit(cells)).cast("int"))
-    window = Window.partitionBy("arc", "cell").orderBy("place", "doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(window) - 1)
-    if cells > 1:
-        sums = rows.groupBy("arc", "cell").agg(F.count(F.lit(1)).alias("n"))
-        ahead = sums.withColumn("ahead", F.sum("n").over(Window.partitionBy("arc").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)))
-        ranked = ranked.join(ahead.select("arc", "cell", F.coalesce("ahead", F.lit(0)).alias("ahead")), ["arc", "cell"])
-        ranked = ranked.withColumn("rank", F.col("rank") + F.col("ahead"))
+    # ``seq`` parts rows that agree in all else, so one id or text with most rows fills many ranges
+    ranked = global_row_number(rows, "arc", "place", "doc_id", "text_crc32", "size", "seq", name="number").withColumn("rank", F.col("number") - 1)
     # at most shards * arcs rows
     inside = (F.col("arc") == F.col("of_arc")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))
     return ranked.join(F.broadcast(plan), inside).select(
