@@ -319,6 +319,20 @@ def test_shards(edge_docs, edge_rows, no_docs):
     assert shards.ring_shards(no_docs).count() == 0
 
 
+def test_one_hot_id_fills_many_ranges(spark):
+    """Rows without id or text, and rows of one id, hold most of the table; the slots stay whole and rows of one id stay in ring order."""
+    docs = spark.range(6000).selectExpr("CASE WHEN id % 3 > 0 THEN NULL WHEN id % 2 = 0 THEN 7 ELSE id END AS doc_id", "CAST(NULL AS STRING) AS text", "id AS seq", "id AS number")
+    got = shards.ring_shards(docs, shards=8).collect()
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == 6000 and all(sorted(s) == list(range(750)) for s in slots.values()) and len(slots) == 8
+    plan = shards.ring_shards(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "arc" in plan and "_range" in plan
+    home = {r["home_shard"] for r in got if r["doc_id"] == 7}
+    assert len(home) == 1
+
+
 def test_ring_placement_matches_a_plain_walk():
     rng = random.Random(9)
     points = shards.ring(5, 16)

@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import pytest
 from brute import SF, crc, fold, secret_spans
@@ -34,7 +35,9 @@ def test_licenses_match_brute_force(edge_docs, edge_rows, no_docs):
     [
         ("MIT", {"mit"}, 1.0), ("GPL-3.0-only OR MIT", {"gpl-3.0-only", "mit"}, 1.0), ("GPL-3.0-only AND MIT", {"gpl-3.0-only", "mit"}, 0.3),
         ("MIT OR GPL-2.0-only AND AGPL-3.0", {"mit", "gpl-2.0-only", "agpl-3.0"}, 1.0), ("(MIT OR GPL-2.0-only) AND AGPL-3.0", {"mit", "gpl-2.0-only", "agpl-3.0"}, 0.2),
-        ("GPL-2.0-only WITH Classpath-exception-2.0", {"gpl-2.0-only"}, 0.5), ("mit or (bsd) and x trailing words", {"mit", "bsd", "x"}, 1.0),
+        ("GPL-2.0-only WITH Classpath-exception-2.0", {"gpl-2.0-only"}, 0.5), ("mit or (bsd) and isc trailing words", {"mit", "bsd", "isc"}, 1.0),
+        ("MIT or see the file", {"mit"}, 1.0), ("Apache-2.0. Other words", {"apache-2.0"}, 1.0), ("LicenseRef-My.Own-1 AND 0BSD", {"licenseref-my.own-1", "0bsd"}, 0.4),
+        ("LGPL-2.1-or-later with some-exception or GPL-2.0+", {"lgpl-2.1-or-later", "gpl-2.0+"}, 0.8),
     ],
 )
 def test_expressions(text, labels, freedom):
@@ -43,7 +46,21 @@ def test_expressions(text, labels, freedom):
 
 
 def test_broken_expressions():
-    assert all(licenses.evaluate(x) is None for x in ("", "OR", "MIT OR", "(MIT", "MIT AND )", "()"))
+    assert all(licenses.evaluate(x) is None for x in ("", "OR", "MIT OR", "(MIT", "MIT AND )", "()", "see the file", "(MIT or see the file)", "with care"))
+
+
+def test_notices_of_a_long_text_take_linear_time():
+    phrases = licenses.automaton()
+
+    def took(n):
+        text = "under the MIT License or CC BY, ".lower() * n
+        start = time.perf_counter()
+        found = licenses.read_notice(text, phrases)
+        assert len(found.places) == 2 * n and found.places[-2] == (7 * n - 5, "mit")
+        return time.perf_counter() - start
+
+    took(100)
+    assert took(80_000) < 12 * took(20_000) + 0.2
 
 
 @pytest.fixture(scope="module")
@@ -175,9 +192,24 @@ def test_secret_ownership(spark):
     rows = [(i, texts[0], f"s{i}") for i in range(4)] + [(10, texts[1], "s0"), (11, texts[1], "s0"), (12, texts[2], None), (13, texts[3], "s9")]
     got = {r["doc_id"]: r for r in secrets.digest(secrets.secret_report(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
     assert (got[0]["n_copied"], got[0]["n_owner_specific"]) == (1, 0) and (got[10]["n_copied"], got[10]["n_owner_specific"]) == (0, 1)
+    assert got[12]["n_owner_specific"] == 0 and got[13]["n_owner_specific"] == 0  # an example, an ordinary word and a token of letters in order
     assert got[12]["spans"] == "provider:2:29" and got[13]["spans"] == "url_login:0:18,jwt:24:57" and got[13]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_repositories_and_liveness_decide_ownership(spark):
+    drawn = "Zk3vQ9xLw2Tb7Hn5"
+    rows = [(i, f"token={drawn}", "s0") for i in range(25)]
+    rows += [(100, "secret: p7Xw0Rk2Vt9Mz4Qs", "s0"), (101, "secret: exampleRk2Vt9Mz4", "s0"), (102, "secret: aaaaaaaaaaaaaaaa", "s0"), (103, "é " + "ab01" * 50_000, "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    few = {r["doc_id"]: (r["n_copied"], r["n_owner_specific"]) for r in secrets.digest(secrets.secret_report(docs)).collect()}
+    # one owner, but many repositories
+    assert few[0] == (1, 0) and few[100] == (0, 1) and few[101] == few[102] == few[103] == (0, 0)
+    more = {r["doc_id"]: (r["n_copied"], r["n_owner_specific"]) for r in secrets.digest(secrets.secret_report(docs, copied_repositories=26)).collect()}
+    assert more[0] == (0, 1)
+    counts = {(r["n_repositories"], r["n_owners"]) for r in secrets.secret_report(docs).selectExpr("inline(spans)").collect()}
+    assert counts == {(25, 1), (1, 1)}
+
+
 def test_native_plans_have_no_python(spark):
     for name in ("op7_secrets", "op9_shards"):
         plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
