@@ -172,6 +172,11 @@ def bm25(
     matching = postings.join(wanted, "term", "left_semi").select("doc_id", "term", impact(stats).alias("impact"))
     dealt = matching.repartition("doc_id")
     weights = cut(term_weights(terms, term_bounds(matching, k), stats.select("n_docs").scalar()))
+    return best_documents(dealt, weights, k)
+
+
+def best_documents(dealt: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """``(question_id, doc_id, score, rank)`` of ``dealt(doc_id, term, impact)``, dealt by document, under :func:`term_weights`."""
     blocks = -(-weights.count() // BLOCK_TERMS) or 1
     tops = [_block_top(dealt, weights.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i), k) for i in range(blocks)]
     return reduce(DataFrame.unionByName, tops)

@@ -15,8 +15,9 @@ from ..operators.completions import Completer, complete, with_cache_key
 from ..operators.edges import global_row_number
 from ..operators.hybrid import blend, candidate_limit
 from ..operators.merge import report_id, units_for_entities
-from ..operators.postings import bm25, build_postings, corpus_stats
+from ..operators.postings import best_documents, bm25, build_postings, corpus_stats
 from ..operators.reports import number_text, outer_object
+from ..operators.substrings import holders
 from ..operators.traverse import k_hop, spread
 from ..operators.vectors import cosine, hash_embed, nearest
 from ..session import cut
@@ -328,37 +329,27 @@ def top_reports(questions: DataFrame, graph: Graph, limit: int = DRIFT_REPORTS)
 
 
 def _lexical_reports(questions: DataFrame, reports: DataFrame, limit: int) -> DataFrame:
-    words = F.array_distinct(tx.words(F.lower("text")))
-    vocabulary = questions.select(F.explode(words).alias("word")).distinct()
-    text = F.lower(F.concat_ws(" ", "title", "summary"))
-    # Substring tests need the words beside each report: they are matched per report
-    # against the question words as rows of one array, built in bounded blocks.
-    blocks = vocabulary.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(64)).cast("int")).groupBy("block").agg(
-        F.collect_list("word").alias("ws")
-    )
-    found = (
-        reports.select("level", "cluster", text.alias("t"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("block"))
-        .join(blocks, "block")
-        .select("level", "cluster", F.explode(F.filter("ws", lambda w: F.contains(F.col("t"), w))).alias("word"))
-    )
-    scores = (
-        questions.select("question_id", F.explode(words).alias("word"))
-        .join(found, "word")
-        .groupBy("question_id", "level", "cluster")
-        .agg(F.count(F.lit(1)).alias("score"))
-    )
+    """Words are found by the gram index; scores are summed, and the best of each part taken, where the found words of a report lie."""
+    report = F.struct("level", "cluster").alias("doc_id")
+    texts = reports.select(report, F.lower(F.concat_ws(" ", "title", "summary")).alias("text"))
+    asked = cut(questions.select("question_id", F.explode(F.array_distinct(tx.words(F.lower("text")))).alias("term")))
+    dealt = holders(asked.select("term"), texts).withColumn("impact", F.lit(1.0)).repartition("doc_id")
+    weights = asked.select(
+        "question_id", "term", F.lit(1.0).alias("w"), F.lit(None).cast("double").alias("floor"), F.lit(True).alias("essential"), F.lit(0.0).alias("rest")
+    )
+    matched = best_documents(dealt, weights, limit).select("question_id", "doc_id.level", "doc_id.cluster", F.col("score").cast("long").alias("score"))
+    matched = cut(matched)
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "level", "cluster")
-    matched = scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     # reports without a match follow in listing order; the first ``limit`` of them suffice
     head = reports.orderBy("level", "cluster").limit(2 * limit).select("level", "cluster")
     listing = head.agg(F.array_sort(F.collect_list(F.struct("level", "cluster"))).alias("l")).scalar()
     fill = (
         questions.select("question_id", F.posexplode(listing).alias("n", "r"))
         .select("question_id", "n", "r.level", "r.cluster")
-        .join(scores.select("question_id", "level", "cluster"), ["question_id", "level", "cluster"], "left_anti")
+        .join(matched, ["question_id", "level", "cluster"], "left_anti")
         .withColumn("score", F.lit(0).cast("long"))
     )
-    both = matched.select("question_id", "level", "cluster", "score").unionByName(fill.select("question_id", "level", "cluster", "score"))
+    both = matched.unionByName(fill.select("question_id", "level", "cluster", "score"))
     ranked = both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     return ranked.drop("score").join(reports, ["level", "cluster"])
 
