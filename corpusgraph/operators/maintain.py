@@ -193,30 +193,3 @@ def reindex_report(
         total(claims).alias("claims_upserted"),
         total(misses).alias("completions"),
     )
-
-
-def write_bucketed(df: DataFrame, path: str, key: str, touched: DataFrame | None = None, buckets: int = 256) -> None:
-    """Write a table partitioned by key bucket; with ``touched`` keys only their buckets are replaced.
-
-    ``df`` must not read from ``path``: pass a frame that was cut before.
-    """
-    spark = df.sparkSession
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    out = df.withColumn("bucket", bucket)
-    emptied: set[int] = set()
-    if touched is not None:
-        hit = cut(touched.select(bucket.alias("bucket")).distinct())
-        out = out.join(hit, "bucket", "left_semi")
-        left = out.select("bucket").distinct()
-        # at most ``buckets`` numbers
-        emptied = {r["bucket"] for r in hit.join(left, "bucket", "left_anti").collect()}
-    (
-        out.repartition("bucket", F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(8)))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic" if touched is not None else "static")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
-    for number in emptied:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/bucket={number}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -20,6 +20,7 @@ from ..operators.pages import parse_pages
 from ..session import cut
 from ..sources.files import to_markdown, utf8
 from ..sources.ledger import LEDGER_COLUMNS, ingest, log_rows
+from ..sources.snapshots import BUCKET_BYTES, Snapshots
 from .settle import SETTLE_SECONDS
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -182,69 +183,63 @@ def once_per_content(files: DataFrame, lateness: str = "1 hour") -> DataFrame:
     )
 
 
-INDEX_SCHEMA = "page_path string, title string, page_type string, content_hash string, updated string"
+# name: (columns, the key that buckets follow)
+INDEX_TABLES = {
+    "index": ("page_path string, title string, page_type string, content_hash string, updated string", "page_path"),
+    "postings": ("doc_id string, term string, tf bigint, tf_title bigint, dl int", "doc_id"),
+    "vectors": ("doc_id string, vector array<double>", "doc_id"),
+}
 
 
-def write_index(index: PageIndex, state: str, batch: int) -> None:
-    """Write the rows of one batch to folders of its number; running it again replaces them."""
-    for name, df in zip(PageIndex._fields, index):
-        df.write.mode("overwrite").parquet(f"{state}/index/{name}/batch={batch}")
-
-
-def _newest(spark: SparkSession, state: str, before_batch: int | None = None) -> DataFrame:
-    """Newest index row of every page ever indexed; a deleted page has a null hash."""
-    rows = spark.read.schema(INDEX_SCHEMA + ", batch bigint").parquet(f"{state}/index/index")
-    if before_batch is not None:
-        rows = rows.where(F.col("batch") < before_batch)
-    fields = ("title", "page_type", "content_hash", "updated", "batch")
-    return rows.groupBy("page_path").agg(F.max_by(F.struct(*fields), "batch").alias("r")).select(
-        "page_path", *[f"r.{c}" for c in fields]
-    )
+def index_store(spark: SparkSession, state: str, bucket_bytes: int = BUCKET_BYTES) -> Snapshots:
+    return Snapshots(spark, f"{state}/index", bucket_bytes)
 
 
 def read_index(spark: SparkSession, state: str) -> PageIndex | None:
-    """The index as of the last batch: of every page, the rows of its newest batch."""
-    if not _exists(spark, f"{state}/index/index"):
+    """The three index tables as of the last batch."""
+    store = index_store(spark, state)
+    if not store.batches():
         return None
-    live = _newest(spark, state).where("content_hash is not null")
-    key = live.select(F.col("page_path").alias("doc_id"), "batch")
-    tables = []
-    for name in ("postings", "vectors"):
-        rows = spark.read.parquet(f"{state}/index/{name}").withColumn("batch", F.col("batch").cast("bigint"))
-        tables.append(rows.join(key, ["doc_id", "batch"], "left_semi").drop("batch"))
-    return PageIndex(live.drop("batch"), *tables)
+    version = store.version()
+    return PageIndex(*[version.read(name, INDEX_TABLES[name][0]) for name in PageIndex._fields])
 
 
-def index_batch(spark: SparkSession, pages: DataFrame, state: str, batch: int, partial: bool = True, removed: DataFrame | None = None) -> None:
+def index_batch(
+    spark: SparkSession, pages: DataFrame, state: str, batch: int, partial: bool = True, removed: DataFrame | None = None, bucket_bytes: int = BUCKET_BYTES
+) -> None:
     """Index the pages of a batch whose body hash changed.
 
-    Only their rows are written, so a batch costs what it changes and not the size of
-    the index.  With ``partial`` the batch holds new and changed pages only; otherwise it is
-    the whole collection and pages missing from it are marked as deleted.
-    ``removed(page_path)`` names pages that went.
+    The buckets that their paths fall into are read and written again, so a batch costs what it
+    touches and not the size of the index; buckets above ``bucket_bytes`` are dealt deeper, and
+    all three tables change at once.  With ``partial`` the batch holds new and changed pages only; otherwise
+    it is the whole collection and pages missing from it go.  ``removed(page_path)`` names
+    pages that went.  A batch that was committed before is left as it is.
     """
+    store = index_store(spark, state, bucket_bytes)
+    if store.committed(batch):
+        return
+    change = store.change(batch)
     now = datetime.now(timezone.utc).isoformat()
     pages = cut(pages)
-    fresh, gone = pages, None
-    if _exists(spark, f"{state}/index/index"):
-        stored = cut(_newest(spark, state, batch).where("content_hash is not null").select("page_path", "content_hash"))
-        if partial:
-            stored_here = stored.join(pages.select("page_path"), "page_path", "left_semi")
-        else:
-            stored_here = stored
-        diff = cut(diff_pages(pages, stored_here))
-        fresh = pages.join(diff.where("change in ('added','updated')").select("page_path"), "page_path", "left_semi")
-        gone = diff.where("change = 'deleted'").select("page_path")
-        if removed is not None:
-            gone = gone.unionByName(stored.select("page_path").join(removed.select("page_path"), "page_path", "left_semi")).distinct()
+    schema = INDEX_TABLES["index"][0]
+    named = pages.select("page_path")
+    if removed is not None:
+        named = named.unionByName(removed.select("page_path"))
+    met = change.old.touched("index", F.col("page_path"), named) if partial else None
+    stored = cut(change.old.read("index", schema, met).select("page_path", "content_hash"))
+    diff = cut(diff_pages(pages, stored.join(named, "page_path", "left_semi") if partial else stored))
+    fresh = pages.join(diff.where("change in ('added','updated')").select("page_path"), "page_path", "left_semi")
     built = build_index(fresh, now)
-    if gone is not None:
-        none = F.lit(None).cast("string")
-        marks = gone.select(
-            "page_path", none.alias("title"), none.alias("page_type"), none.alias("content_hash"), F.lit(now).alias("updated")
-        )
-        built = built._replace(index=built.index.unionByName(marks))
-    write_index(built, state, batch)
+    old = diff.where("change in ('updated','deleted')").select("page_path")
+    if removed is not None:
+        old = old.unionByName(removed.select("page_path")).distinct()
+    new = diff.where("change in ('added','updated')").select("page_path")
+    hit = cut(old.unionByName(new).distinct())
+    for name, rows in zip(PageIndex._fields, built, strict=True):
+        schema, key = INDEX_TABLES[name]
+        keys = hit.withColumnRenamed("page_path", key)
+        change.replace(name, schema, key, keys, lambda kept, keys=keys, key=key: kept.join(keys, key, "left_anti"), rows)
+    change.commit()
 
 
 def cycles_over_changes(

@@ -176,14 +176,20 @@ def test_embedder_change_rebuilds(spark):
 
 
 def test_bucketed_update_replaces_only_touched_buckets(spark, folder):
-    df = spark.range(200).select(F.col("id"), F.lit("old").alias("v"))
-    path = f"{folder}/t"
-    mt.write_bucketed(df, path, "id", buckets=16)
+    from corpusgraph.sources.snapshots import Snapshots
+
+    store, schema = Snapshots(spark, f"{folder}/t", 4000), "id long, v string"
+    first = store.change(0)
+    first.replace("t", schema, "id", spark.range(5000), lambda rows: rows, spark.range(5000).select("id", F.lit("old").alias("v")))
+    before = first.commit().of("t")
     touched = spark.range(5)
-    now = df.where("id not in (0, 1)").withColumn("v", F.when(F.col("id") < 5, "new").otherwise(F.col("v")))
-    mt.write_bucketed(now, path, "id", touched, buckets=16)
-    got = {r["id"]: r["v"] for r in spark.read.parquet(path).collect()}
-    assert set(got) == set(range(2, 200)) and [got[i] for i in (2, 3, 4, 5)] == ["new", "new", "new", "old"]
+    second = store.change(1)
+    second.replace("t", schema, "id", touched, lambda rows: rows.join(touched, "id", "left_anti"), spark.range(2, 5).select("id", F.lit("new").alias("v")))
+    after = second.commit()
+    got = {r["id"]: r["v"] for r in store.version().read("t", schema).collect()}
+    assert set(got) == set(range(2, 5000)) and [got[i] for i in (2, 3, 4, 5)] == ["new", "new", "new", "old"]
+    same = {b.path for b in before} & {b.path for b in after.of("t")}
+    assert len(before) > 5 and len(before) - 5 <= len(same) < len(before)
 
 
 def test_snapshot_pointer_flips(spark, folder):

@@ -130,3 +130,31 @@ def test_index_batch_of_a_whole_collection(spark, folder):
         terms = {(r["doc_id"][-4], r["term"]) for r in third.postings.collect()}
         assert ("a", "new") in terms and ("a", "old") not in terms and not any(d == "b" for d, _ in terms)
         assert third.vectors.count() == 2
+
+
+def test_index_keeps_its_state_while_buckets_split(spark, folder):
+    from corpusgraph.operators import maintain as mt
+
+    state = f"{folder}/state"
+    text = lambda i, word: (f"wiki/p{i:03}.md", f"# Page {i}\n\n{word} " + " ".join(f"w{(i * 37 + j * j * 11) % 5003}" for j in range(80)))
+    frame = lambda rows: pg.parse_pages(spark.createDataFrame(rows, "page_path string, text string"))
+    now = {i: text(i, "old") for i in range(40)}
+    wt.index_batch(spark, frame(list(now.values())), state, 0, bucket_bytes=1 << 40)
+    assert len(wt.index_store(spark, state).version().of("postings")) == 1
+    # the next batch finds its only bucket too large
+    fresh = {i: text(i, "new") for i in (3, 4, 50, 51)}
+    now.update(fresh)
+    gone = spark.createDataFrame([(now.pop(i)[0],) for i in (7, 8)] + [("wiki/never.md",)], "page_path string")
+    wt.index_batch(spark, frame(list(fresh.values())), state, 1, removed=gone, bucket_bytes=8000)
+    split = {b.path for b in wt.index_store(spark, state).version().of("postings")}
+    assert len(split) > 3
+    now[9] = text(9, "newest")
+    wt.index_batch(spark, frame([now[9]]), state, 2, bucket_bytes=8000)
+    assert len(split & {b.path for b in wt.index_store(spark, state).version().of("postings")}) == len(split) - 1
+    got, want = wt.read_index(spark, state), mt.build_index(frame(list(now.values())), "then")
+    for a, b in zip(got, want, strict=True):
+        columns = [c for c in b.columns if c != "updated"]
+        rows = lambda df: sorted(map(repr, df.select(*columns).collect()))
+        assert rows(a) == rows(b)
+    for a, b in zip(got, want, strict=True):
+        assert [(f.name, f.dataType) for f in a.schema] == [(f.name, f.dataType) for f in b.schema]
