@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
-from .words import filtered, hashed, shingled
+from .words import filtered, hashed, mix, shingled
 
-# Documented bounds of the fit: labelled rows, lexicon candidates, lexicon voters.
-FIT_ROWS, CANDIDATES, VOTERS = 20_000, 50_000, 192
+# Documented bound of the fit: labelled rows.  Twice as many are drawn, since near copies among them count once.
+FIT_ROWS = 20_000
+# Toxic texts that a lexicon candidate occurs in; least hashes that near copies agree on.
+LEAST_TEXTS, MINIMA = 3, 3
 # An entry stays when its share of toxic texts is this unlikely by chance over all candidates, and it is mostly toxic.
 CHANCE, PRECISION = 0.05, 0.6
 AFFIXES = (4, 5, 6)
@@ -91,28 +93,28 @@ def _tail(hits: int, n: int, share: float) -> float:
     return math.exp(top) * sum(math.exp(x - top) for x in logs)
 
 
-def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, int]:
-    """The lexicon: significant entries, best first, without those that a chosen entry covers."""
-    if not n_toxic or not n_clean:
-        return {}
-    share = n_toxic / (n_toxic + n_clean)
-    good = []
-    for e, t in toxic.items():
-        c = clean.get(e, 0)
-        chance = _tail(t, t + c, share)
-        if (t + 0.5) / (t + c + 1) >= PRECISION and chance * len(toxic) <= CHANCE:
-            good.append((chance, -len(e), e))
+def significant(toxic: int, clean: int, share: float, tested: int) -> float | None:
+    """How likely ``toxic`` of the texts with an entry are so by chance, or None if that is not rare over all tested entries."""
+    chance = _tail(toxic, toxic + clean, share)
+    return chance if (toxic + 0.5) / (toxic + clean + 1) >= PRECISION and chance * tested <= CHANCE else None
+
+
+def choose(found: list[tuple[str, int, float]]) -> dict[str, int]:
+    """The lexicon: significant entries ``(entry, toxic texts, chance)``, best first, without those that a chosen entry covers."""
     chosen: dict[str, int] = {}
     covers: set[tuple[str, int]] = set()
-    for _, _, e in sorted(good):
-        if len(chosen) == VOTERS:
-            break
+    heads, tails = set(), set()
+    for _, _, e, t in sorted((chance, -len(e), e, t) for e, t, chance in found):
         stem = e.strip("*")
-        covered = e in chosen or any(stem.startswith(x[:-1]) if x[-1] == "*" else stem.endswith(x[1:]) for x in chosen if "*" in x)
+        covered = any(stem[:n] in heads or stem[-n:] in tails for n in AFFIXES)
         # an entry that only restates what a chosen one says, on the same texts
-        if covered or (stem[:4], toxic[e]) in covers or (stem[-4:], toxic[e]) in covers:
+        if covered or (stem[:4], t) in covers or (stem[-4:], t) in covers:
             continue
-        covers |= {(stem[:4], toxic[e]), (stem[-4:], toxic[e])}
+        covers |= {(stem[:4], t), (stem[-4:], t)}
+        if e[-1] == "*":
+            heads.add(stem)
+        elif e[0] == "*":
+            tails.add(stem)
         chosen[e] = len(chosen)
     return chosen
 
@@ -174,67 +176,95 @@ def linear(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
-def _counted(sample: DataFrame, toxic: bool, wanted: frozenset[str] | None) -> dict[str, int]:
-    """In how many sampled texts of a class each lexicon entry occurs."""
+def _counted(sample: DataFrame) -> DataFrame:
+    """``(entry, n_toxic, n_clean)``: in how many sampled texts of each class an entry of ``LEAST_TEXTS`` toxic ones occurs."""
 
     def run(batches):
-        seen: Counter = Counter()
+        seen: tuple[Counter, Counter] = Counter(), Counter()
         store: dict = {}
+
+        def told():
+            for toxic, counts in enumerate(seen):
+                rows = list(counts.items())
+                counts.clear()
+                for i in range(0, len(rows), 50_000):
+                    piece = rows[i : i + 50_000]
+                    flags = pa.array(np.full(len(piece), toxic, np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in piece]), flags, pa.array([n for _, n in piece], pa.int64())], ["entry", "toxic", "n"])
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found: set = set()
                 for w in words_of(text or ""):
                     got = store.get(w)
                     if got is None:
-                        got = store[w] = tuple(e for e in entries(w) if wanted is None or e in wanted)
+                        got = store[w] = tuple(entries(w))
                     found.update(got)
-                seen.update(found)
+                seen[bool(toxic)].update(found)
             if len(store) > STORE_WORDS:
                 store.clear()
-        rows = list(seen.items())
-        for i in range(0, len(rows), 50_000):
-            piece = rows[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in piece]), pa.array([n for _, n in piece], pa.int64())], ["entry", "n"])
+                yield from told()
+        yield from told()
+
+    each = sample.select("text", "toxic").mapInArrow(run, "entry string, toxic int, n long")
+    of = lambda toxic: F.coalesce(F.sum(F.when(F.col("toxic") == toxic, F.col("n"))), F.lit(0))
+    return each.groupBy("entry").agg(of(1).alias("n_toxic"), of(0).alias("n_clean")).where(F.col("n_toxic") >= LEAST_TEXTS)
+
+
+def _lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, int]:
+    """Every candidate goes through the test where it lies; the significant ones of at most ``FIT_ROWS`` texts come to the driver."""
+    counts = cut(_counted(sample))
+    tested, share = counts.count(), n_toxic / (n_toxic + n_clean)
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            good = [(e, t, chance) for e, t, c in rows if (chance := significant(t, c, share, tested)) is not None]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([g[0] for g in good], pa.string()), pa.array([g[1] for g in good], pa.int64()), pa.array([g[2] for g in good], pa.float64())], ["entry", "n", "chance"]
+            )
 
-    told = sample.where(F.col("toxic") == int(toxic)).select("text").mapInArrow(run, "entry string, n long")
-    best = told.groupBy("entry").agg(F.sum("n").alias("n")).where("n >= 3").orderBy(F.desc("n"), "entry").limit(CANDIDATES)
-    return {r["entry"]: r["n"] for r in best.toLocalIterator()}
+    return choose([tuple(r) for r in counts.mapInArrow(run, "entry string, n long, chance double").collect()])
 
 
-def _first_shingle(texts: DataFrame) -> DataFrame:
-    """Adds ``shingle``: the least shingle hash of a text, which near copies mostly share."""
+def _minima(texts: DataFrame) -> DataFrame:
+    """Adds ``near``: the least hashes of a text's shingles under ``MINIMA`` permutations, which near copies mostly share."""
+    seeds = mix(np.arange(1, MINIMA + 1, dtype=np.uint64))
 
     def run(batches):
         for batch in batches:
             least = []
-            for _, words, bounds in hashed(batch.column(0)):
+            for _, words, bounds in hashed(batch.column(1)):
                 s, ends = shingled(words, bounds, 5)
-                least += [int(s[a:b].min().view(np.int64)) if b > a else 0 for a, b in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least, pa.int64())], ["text", "toxic", "shingle"])
+                for a, b in zip(ends, ends[1:], strict=False):
+                    least.append([int(mix(s[a:b] ^ x).min().view(np.int64)) for x in seeds] if b > a else [0] * MINIMA)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.list_(pa.int64()))], ["doc_id", "text", "toxic", "near"])
 
-    return texts.mapInArrow(run, "text string, toxic int, shingle long")
+    return texts.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, text string, toxic int, near array<long>")
 
 
 def train(docs: DataFrame, labels: DataFrame, learnable: Column, fit_rows: int = FIT_ROWS) -> Model:
     """Fit on labelled rows of ``docs(doc_id, text)`` where ``learnable`` (of ``doc_id``) holds.
 
-    Null labels and ids are left out, repeated ones count once (toxic wins); copies and near copies of a
-    text count once.  Without a toxic and a clean row the model knows only the patterns.
+    Null labels and ids are left out, repeated ones count once (toxic wins).  Of copies and near
+    copies with one label the first in the order of the draw counts; ``fit_rows`` holds after that.
+    Texts are read whole.  Without a toxic and a clean row the model knows only the patterns.
     """
     chosen = (
         labels.where(learnable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * fit_rows)
     )
-    # at most fit_rows small rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    sample = cut(_first_shingle(texts).dropDuplicates(["shingle", "toxic"]).drop("shingle"))
+    # at most 2 * fit_rows small rows
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id")
+    drawn = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("t"))
+    firsts = _minima(texts).groupBy("near", "toxic").agg(F.min_by("text", drawn).alias("text"), F.min(drawn).alias("drawn"))
+    sample = cut(firsts.orderBy("drawn").limit(fit_rows).select("text", "toxic"))
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     patterns = tuple(PATTERNS)
     if not n_toxic or not n_clean:
         return Model({}, patterns, np.ones(len(patterns)), -3.0, np.full(len(patterns), 0.5))
-    toxic = _counted(sample, True, None)
-    lexicon = choose(toxic, _counted(sample, False, frozenset(toxic)), n_toxic, n_clean)
+    lexicon = _lexicon(sample, n_toxic, n_clean)
     m = len(lexicon) + len(patterns)
 
     def run(batches):

@@ -168,6 +168,36 @@ def test_toxicity_without_labels(spark, edge_docs, no_docs):
         assert toxicity.scored(docs, model).count() == docs.count()
 
 
+def test_lexicon_matches_brute_force(spark):
+    """Counts of both classes, the rare clean ones too, and the exact binomial tail."""
+    rng = random.Random(8)
+    pool = [f"w{i}x" for i in range(60)]
+    texts = [(" ".join(rng.choices(pool, k=12)) + (f" {rng.choice(['grumbo', 'zlokan'])}" if i % 4 == 0 and rng.random() < 0.9 else " rare" if rng.random() < 0.01 else ""), int(i % 4 == 0)) for i in range(400)]
+    texts += [(None, 0), ("", 1), ("rare rare", 1), ("rare", 1), ("rare", 1)]
+    sample = spark.createDataFrame(texts, "text string, toxic int")
+    counts = [collections.Counter(), collections.Counter()]
+    for t, y in texts:
+        counts[y].update({e for w in toxicity.words_of(t or "") for e in toxicity.entries(w)})
+    want = {e: (n, counts[0][e]) for e, n in counts[1].items() if n >= toxicity.LEAST_TEXTS}
+    assert {r["entry"]: (r["n_toxic"], r["n_clean"]) for r in toxicity._counted(sample).collect()} == want
+    n_toxic = sum(y for _, y in texts)
+    share = n_toxic / len(texts)
+    exact = lambda t, n: sum(math.comb(n, k) * share**k * (1 - share) ** (n - k) for k in range(t, n + 1))
+    good = {e for e, (t, c) in want.items() if (t + 0.5) / (t + c + 1) >= toxicity.PRECISION and exact(t, t + c) * len(want) <= toxicity.CHANCE}
+    lexicon = toxicity._lexicon(sample, n_toxic, len(texts) - n_toxic)
+    assert {"grumbo", "zlokan"} & good and set(lexicon) <= good and sorted(lexicon.values()) == list(range(len(lexicon)))
+    assert {w for w in ("grumbo", "zlokan") for e in lexicon if w.startswith(e.strip("*")) or w.endswith(e.strip("*"))} == {"grumbo", "zlokan"}
+
+
+def test_only_near_copies_count_once_in_the_fit(spark):
+    words = [f"k{i}" for i in range(200)]
+    half = " ".join(words[:100] + [f"z{i}" for i in range(100)])
+    rows = [(i, " ".join(words), 1) for i in range(5)] + [(10, half, 1), (11, None, 1), (12, "", 1), (13, " ".join(words), 0)]
+    near = toxicity._minima(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    keys = {r["doc_id"]: tuple(r["near"]) for r in near.collect()}
+    assert len({keys[i] for i in (0, 1, 2, 3, 4, 13)}) == 1 and keys[10] != keys[0] and keys[11] == keys[12] == (0,) * toxicity.MINIMA
+
+
 def test_label_model_discounts_correlated_voters():
     import numpy as np
 
