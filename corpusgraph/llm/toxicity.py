@@ -256,9 +256,11 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, fit_rows: int =
     )
     # at most 2 * fit_rows small rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id")
-    drawn = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("t"))
-    firsts = _minima(texts).groupBy("near", "toxic").agg(F.min_by("text", drawn).alias("text"), F.min(drawn).alias("drawn"))
-    sample = cut(firsts.orderBy("drawn").limit(fit_rows).select("text", "toxic"))
+    drawn = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("t"), F.monotonically_increasing_id().alias("seq"))
+    near = cut(_minima(texts).withColumn("drawn", drawn))
+    # texts stay where they are: at most fit_rows places come together
+    firsts = near.groupBy("near", "toxic").agg(F.min("drawn").alias("drawn")).orderBy("drawn").limit(fit_rows).select("drawn")
+    sample = cut(near.join(F.broadcast(firsts), "drawn", "left_semi").select("text", "toxic"))
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     patterns = tuple(PATTERNS)
