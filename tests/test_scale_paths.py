@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from corpusgraph.operators import merge as mg, postings as ps, privacy as pv, traverse as tv
+from corpusgraph.operators import merge as mg, postings as ps, privacy as pv, traverse as tv, vectors as vx
 
 
 def ranked(docs, questions, k):
@@ -203,3 +203,21 @@ def test_units_of_a_hub(spark):
         mine = sorted(place[u] for u in {u for x, e in wanted if x == q for u in of[e]})[:5]
         told = sorted((r["nth"], r["page_path"], r["chunk_index"], r["text_unit_id"], r["text"]) for r in got.where(F.col("question_id") == q).collect()) if q < 3 else None
         assert told is None or told == [(i + 1, *m) for i, m in enumerate(mine)]
+
+
+def test_hash_embedding_moves_nothing(spark):
+    """Every text becomes its vector where it lies, with the counts of ``hash_buckets``; repeated ids keep texts apart."""
+    texts = [(i, " ".join(f"w{(i * j) % 17}Ä" for j in range(i % 40))) for i in range(1200)] + [(-1, None), (-2, ""), (-3, "a b\tA"), (-3, "c")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    made = vx.hash_embed(df, "id", "text")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    counts = {}
+    for r in vx.hash_buckets(df.where("id > -3"), "id", "text").collect():
+        counts.setdefault(r["id"], [0] * vx.DIM)[r["bucket"]] = r["value"]
+    rows = made.collect()
+    assert len(rows) == len(texts) and len({tuple(r["vector"]) for r in rows if r["id"] == -3}) == 2
+    for r in rows:
+        if r["id"] > -3:
+            want = counts.get(r["id"], [0] * vx.DIM)
+            size = sum(x * x for x in want) ** 0.5
+            assert r["vector"] == [x / size if size else 0.0 for x in want]
