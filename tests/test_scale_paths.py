@@ -221,3 +221,40 @@ def test_hash_embedding_moves_nothing(spark):
             want = counts.get(r["id"], [0] * vx.DIM)
             size = sum(x * x for x in want) ** 0.5
             assert r["vector"] == [x / size if size else 0.0 for x in want]
+
+
+def test_prompts_are_made_once(spark):
+    """A completer's misses and the answers read one table of prompts."""
+    from corpusgraph.operators.completions import complete, with_cache_key
+
+    made = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    def answer(batches):
+        for b in batches:
+            yield b[["cache_key"]].assign(response="yes")
+
+    prompts = with_cache_key(spark.range(7).selectExpr("id", "'s' AS system", "CAST(id AS STRING) AS user").mapInPandas(told, "id long, system string, user string"))
+    done = complete(prompts, spark.createDataFrame([], "cache_key string, response string"), answer)
+    assert sorted((r["id"], r["response"]) for r in done.answered.collect()) == [(i, "yes") for i in range(7)]
+    assert made.value == 7
+
+
+def test_first_rows_of_many_keys(spark):
+    """More keys than a bitmap has places, rows that several entities share: each key gets its own first rows once, and shared ones move once."""
+    rng = random.Random(5)
+    own = [(e, r, f"d{r}") for e in range(30) for r in rng.sample(range(200), 12)]
+    named = [(q, e) for q in range(150) for e in rng.sample(range(30), 4)]
+    got = mg.first_named(
+        spark.createDataFrame(named, "question_id long, entity_id long"), spark.createDataFrame(own, "entity_id long, row_id long, text string"), ("row_id",), 7
+    ).collect()
+    told = {}
+    for r in got:
+        told.setdefault(r["question_id"], []).append((r["nth"], r["row_id"], r["text"]))
+    for q in range(150):
+        mine = sorted({(r, t) for x, e in named if x == q for y, r, t in own if y == e})[:7]
+        assert sorted(told[q]) == [(i + 1, *m) for i, m in enumerate(mine)]
