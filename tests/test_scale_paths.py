@@ -258,3 +258,17 @@ def test_first_rows_of_many_keys(spark):
     for q in range(150):
         mine = sorted({(r, t) for x, e in named if x == q for y, r, t in own if y == e})[:7]
         assert sorted(told[q]) == [(i + 1, *m) for i, m in enumerate(mine)]
+
+
+def test_parts_of_report_prompts_match_sql(spark):
+    """Communities of several parts: SQL and prompts deal every line to the same one."""
+    from compare import bag, connect
+    from corpusgraph.plans import check_graph as cg
+    from corpusgraph.plans.catalog import with_views
+
+    sf = "/root/testdata/sf0.001"
+    got = cg._report_prompts(spark, sf, 40).select("level", "cluster", "part", F.col("user").alias("usr"))
+    want = connect(sf).execute(with_views("rel_v", "entities_v", **cg.report_ctes(40)) + "SELECT level, cluster, part, usr FROM rprompts")
+    rows = [tuple(r) for r in got.collect()]
+    assert max(r[2] for r in rows) > 0
+    assert bag(got.columns, rows) == bag([d[0] for d in want.description], want.fetchall())
