@@ -227,3 +227,15 @@ def test_hash_embedding_of_nothing_is_zero(spark):
 
 def test_title_case(spark):
     assert spark.range(1).select(tx.title_case(F.lit("o'neil 3d-MAP x")).alias("t")).first()["t"] == "O'Neil 3D-Map X"
+
+
+def test_hashes_of_compile_prompts(spark):
+    """Hashes carried on from each part's titles are those of the whole prompts; no titles, long and missing sources included."""
+    titles = spark.createDataFrame([(f"Titel {i} \u00e4",) for i in range(100)], "title string")
+    rows = [(f"h{i}", f"n{i}", "document", "text/plain", t) for i, t in enumerate(["a", "", None, "\u00e4" * 12_001, "b" * 12_000] * 5)]
+    sources = spark.createDataFrame(rows, "content_hash string, original_name string, kind string, mime string, parsed_markdown string")
+    for known, chars in ((titles, 200), (titles, 1 << 20), (titles.limit(0), 200)):
+        whole = pg.compile_prompts(sources, known, digest_chars=chars)
+        want = {(r["source_hash"], r["part"]): r["h"] for r in whole.select("source_hash", "part", F.sha2("user", 256).alias("h")).collect()}
+        got = pg.compile_prompt_hashes(sources, known, chars).collect()
+        assert len(got) == len(want) and {(r["source_hash"], r["part"]): r["user_hash"] for r in got} == want
