@@ -272,3 +272,44 @@ def test_parts_of_report_prompts_match_sql(spark):
     rows = [tuple(r) for r in got.collect()]
     assert max(r[2] for r in rows) > 0
     assert bag(got.columns, rows) == bag([d[0] for d in want.description], want.fetchall())
+
+
+def _modularity(edges, comm):
+    m = sum(w for _, _, w in edges)
+    inside = sum(w for a, b, w in edges if comm[a] == comm[b])
+    strength = {}
+    for a, b, w in edges:
+        strength[comm[a]] = strength.get(comm[a], 0.0) + w
+        strength[comm[b]] = strength.get(comm[b], 0.0) + w
+    return inside / m - sum(k * k for k in strength.values()) / (4 * m * m)
+
+
+def test_local_moving_rests_after_few_rounds(spark, monkeypatch):
+    """A graph of one task rests in one round; several tasks and split hubs end within a bounded loss."""
+    import random
+
+    from corpusgraph.operators import communities as cm
+    from corpusgraph.operators.edges import Adjacency
+
+    draw = random.Random(5)
+    ends = [(a, a % 10 + 10 * draw.randrange(12)) for a in range(120) for _ in range(4)] + [(draw.randrange(120), draw.randrange(120)) for _ in range(30)]
+    edges = sorted((a, b, 1.0) for a, b in {(min(p), max(p)) for p in ends if p[0] != p[1]} | {(0, i) for i in range(1, 25)})
+    strength = {i: 0.0 for i in range(120)}
+    for a, b, w in edges:
+        strength[a] += w
+        strength[b] += w
+    frame = spark.createDataFrame(edges, "a long, b long, weight double")
+    nodes = spark.createDataFrame([(i, k, sum(strength.values())) for i, k in strength.items()], "node long, k double, m2 double")
+    written, plain = [], cm.cut
+    monkeypatch.setattr(cm, "cut", lambda df: written.append(1) or plain(df))
+    got = []
+    for sizes in ({}, {"task_rows": 200, "hub_rows": 20}):
+        adjacency = Adjacency(cm._sym(frame, nodes), **sizes)
+        assert (adjacency.parts, adjacency.salted) == ((5, True) if sizes else (1, False))
+        written.clear()
+        rows = cm._move(nodes, adjacency).collect()
+        adjacency.release()
+        assert len(written) <= (40 if sizes else 2)
+        assert sorted(r["node"] for r in rows) == list(range(120))
+        got.append(_modularity(edges, {r["node"]: r["comm"] for r in rows}))
+    assert got[0] > 0.5 and got[1] > 0.8 * got[0]
