@@ -313,3 +313,21 @@ def test_local_moving_rests_after_few_rounds(spark, monkeypatch):
         assert sorted(r["node"] for r in rows) == list(range(120))
         got.append(_modularity(edges, {r["node"]: r["comm"] for r in rows}))
     assert got[0] > 0.5 and got[1] > 0.8 * got[0]
+
+
+def test_whole_texts_become_objects_in_small_pieces(spark):
+    """However many texts a batch holds, few are Python objects at once."""
+    import pyarrow as pa
+
+    from corpusgraph.functions.pieces import PIECE_ROWS
+    from corpusgraph.operators.pages import json_object
+    from corpusgraph.operators.privacy import _restore_udf
+
+    texts = pa.array([None, "none", '{"a": 1}'] * 1000)
+    found = list(json_object.func(iter([texts])))
+    assert max(map(len, found)) <= PIECE_ROWS
+    assert pa.concat_arrays(found).to_pylist() == [None, None, '{"a": 1}'] * 1000
+    told = pa.array(["see [REDACTED_A_1]"] * 300), pa.array([["[REDACTED_A_1]"]] * 300), pa.array([["x"]] * 300)
+    restored = list(_restore_udf.func(iter([told])))
+    assert max(map(len, restored)) <= PIECE_ROWS
+    assert pa.concat_arrays(restored).to_pylist() == ["see x"] * 300
