@@ -104,9 +104,10 @@ def diff_text_units(spark, sf):
 )
 def cleared_links(spark, sf):
     """One stand-in link per stored unit; those of changed and deleted units go."""
-    units = ck.chunk(_stored_pages(spark, sf))
+    # cut once without texts: the units are links, keys of the difference and places at once
+    units = cut(ck.chunk(_stored_pages(spark, sf)).drop("text"))
     links = units.select("text_unit_id", F.col("n_tokens").alias("entity_id"))
-    kept, _ = mt.clear_text_units(links, links, units, _unit_diff(spark, sf))
+    kept, _ = mt.clear_text_units(links, links, units, mt.diff_text_units(ck.chunk(pages(spark, sf)), units))
     return kept.join(units.select("text_unit_id", "page_path", "chunk_index"), "text_unit_id").drop("text_unit_id")
 
 
