@@ -115,12 +115,13 @@ def settle_stream(spark, sf):
     events = inputs.table(spark, sf, "events").select("ts", F.lit("drop").alias("key"))
     end = events.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
     folder = f"{run_folder(spark)}/settle-{uuid.uuid4().hex}"
-    events.unionByName(end.withColumn("key", F.lit("drop"))).write.parquet(f"{folder}/in")
+    events.unionByName(end.withColumn("key", F.lit("drop"))).repartitionByRange("ts").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema("ts timestamp, key string").parquet(f"{folder}/in")
-    query = (
-        st.settle_stream(stream, "5 minutes").writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out")
-    )
+    with st.merged_before_exchange(spark):
+        query = (
+            st.settle_stream(stream, "5 minutes").writeStream.format("parquet").outputMode("append")
+            .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out")
+        )
     query.awaitTermination()
     out = spark.read.schema("key string, window_start timestamp, window_end timestamp, events bigint").parquet(f"{folder}/out")
     return out.select("key", F.unix_micros("window_start").alias("start_us"), F.unix_micros("window_end").alias("end_us"), "events")

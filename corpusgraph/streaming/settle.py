@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 # Fixed value: seconds of quiet after which a burst has settled.
 SETTLE_SECONDS = 1.5
@@ -22,6 +25,22 @@ def settle_stream(events: DataFrame, gap: str = "1.5 seconds", key: str = "key",
     )
 
 
+@contextmanager
+def merged_before_exchange(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside merge the sessions of each input partition before they are dealt by key.
+
+    The task of a key with all events then meets bursts, not events.  A stream keeps the
+    settings it was started under; those of the session are put back.
+    """
+    name = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def settle(events: DataFrame, gap_seconds: float = SETTLE_SECONDS, key: str = "key", ts: str = "ts", slice_seconds: float = 3600.0) -> DataFrame:
     """Same windows over a finished table.
 

@@ -331,3 +331,26 @@ def test_whole_texts_become_objects_in_small_pieces(spark):
     restored = list(_restore_udf.func(iter([told])))
     assert max(map(len, restored)) <= PIECE_ROWS
     assert pa.concat_arrays(restored).to_pylist() == ["see x"] * 300
+
+
+def test_sessions_merge_before_they_are_dealt_by_key(spark, folder):
+    """One key with all events costs its task bursts, not events; the session keeps its settings."""
+    from corpusgraph.streaming import settle as st
+
+    rows = [("k", 10 * i + j) for i in range(40) for j in range(5)] + [("k", 10_000)]
+    events = spark.createDataFrame(rows, "key string, s long").selectExpr("key", "timestamp_seconds(s) AS ts")
+    events.repartitionByRange(4, "ts").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("key string, ts timestamp").parquet(f"{folder}/in")
+    name = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+    before = spark.conf.get(name)
+    with st.merged_before_exchange(spark):
+        query = (
+            st.settle_stream(stream, "2 seconds").writeStream.format("parquet").outputMode("append")
+            .option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start(f"{folder}/out")
+        )
+    assert spark.conf.get(name) == before
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False)
+    assert plan.count("MergingSessions") >= 2
+    found = spark.read.parquet(f"{folder}/out").collect()
+    assert len(found) == 40 and {r["events"] for r in found} == {5}
