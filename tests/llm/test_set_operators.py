@@ -372,3 +372,18 @@ def test_matches_sql(spark, name):
     want = con.execute(queries.ORACLES[name])
     columns = [d[0] for d in want.description]
     assert ordered(tuple(r[c] for c in columns) for r in queries.QUERIES[name](spark, SF).collect()) == ordered(want.fetchall())
+
+
+def test_a_pair_is_compared_in_one_set_only(spark):
+    """Near copies share many keys: each pair is met once, and links are counted, not handed out as rows."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(60)]
+    texts = [" ".join(words[:i] + [f"changed{i}"] + words[i + 1 :]) for i in range(0, 60, 2)]
+    docs = linedup.hashed_text(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    links = linedup.line_links(docs, block=7, share=linedup.WORD_SHARE).collect()
+    total = collections.Counter()
+    for r in links:
+        total[r["h1"], r["h2"]] += r["n_links"]
+    assert len(total) == 30 and set(total.values()) == {29} and len(links) < 30 * 29 // 2
+    sets = [[1, 5, 9], [1, 5], [1, 9], [1]]
+    assert [list(zip(*(x.tolist() for x in linedup.own_pairs(m, [s for s in sets if m in s])), strict=True)) for m in (1, 5, 9)] == [[(0, 3), (1, 2), (1, 3), (2, 3)], [(0, 1)], [(0, 1)]]
