@@ -3,11 +3,13 @@
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from corpusgraph.operators import merge as mg, postings as ps, privacy as pv, traverse as tv, vectors as vx
+from corpusgraph.operators.edges import Cells
 
 
 def ranked(docs, questions, k):
@@ -116,6 +118,48 @@ def test_many_questions_walk_together(spark):
     assert tv.k_hop(rel, ents, none).count() == 0 and tv.spread(rel, none).count() == 0
 
 
+def walked(edges, seeds):
+    """Largest value per entity over all walks of ``MAX_HOPS`` edges."""
+    near, top = neighbours(edges), max(w for *_, w in edges)
+    best, frontier = {}, list(seeds)
+    for _ in range(tv.MAX_HOPS + 1):
+        for e, v in frontier:
+            best[e] = max(best.get(e, 0.0), v)
+        moved = [(x, v * tv.DECAY * (w / top)) for e, v in frontier for x, w in near.get(e, {}).items() if e]
+        frontier = [(e, v) for e, v in moved if v >= tv.THRESHOLD]
+    return {e: v for e, v in best.items() if v >= tv.THRESHOLD}
+
+
+def test_values_meet_in_cells(spark, monkeypatch):
+    """Text ids, loops, missing weights and ends, cells of five edges and slices of three give what walking gives."""
+    monkeypatch.setattr(tv, "Cells", lambda edges: Cells(edges, cell_rows=5))
+    monkeypatch.setattr(tv, "SLICE_EDGES", 3)
+    rng = random.Random(12)
+    edges = [(f"n{a}", f"n{b}", w) for a, b, w in graph(rng, 25, 50)] + [("n1", "n1", 9.0), (None, "n3", 9.0), ("n4", None, 9.0)]
+    given = [*edges, ("n1", "n2", None), (None, None, 1.0)]
+    rel = spark.createDataFrame(given, "source_id string, target_id string, weight double")
+    seeds = [(q, f"n{rng.randrange(27)}", rng.choice([0.01, 0.06, 0.5, 1.0])) for q in range(20) for _ in range(2)]
+    df = spark.createDataFrame(seeds, "question_id long, entity_id string, value double")
+    got = {(r["question_id"], r["entity_id"]): r["activation"] for r in tv.spread(rel, df).collect()}
+    want = {(q, e): v for q in range(20) for e, v in walked(edges, [(e, v) for x, e, v in seeds if x == q]).items()}
+    assert any(e is None for _, e in want) and got == pytest.approx(want, abs=1e-8)
+    assert tv.spread(rel, df).count() == len(want)
+
+
+def test_edges_tell_a_node_once_per_cell(spark):
+    """Edges lie where their end with few edges lives: that end is told once, a busy one once per cell, whatever its edges."""
+    rng = random.Random(13)
+    edges = [(hub, 100 + leaf, float(rng.randrange(40, 51))) for leaf in range(400) for hub in rng.sample(range(10), 5)]
+    cells = Cells(spark.createDataFrame(edges, "a long, b long, weight double"), cell_rows=250)
+    assert cells.n == 8 and cells.rows.count() == len(edges) and cells.rows.where("home < 100").count() == 0
+    values = spark.createDataFrame([(e, 0, *[1.0] * tv.QUESTION_COLUMNS) for e in {x for a, b, _ in edges for x in (a, b)}],
+                                   ", ".join(["entity_id long, block long", *[f"f{i} double" for i in range(tv.QUESTION_COLUMNS)]]))
+    schema = T.StructType.fromDDL(", ".join(["entity_id long, block long", *[f"m{i} double" for i in range(tv.QUESTION_COLUMNS)]]))
+    told = Counter(r["entity_id"] for r in cells.meet(values, tv._step(schema, 0.6, 0.05, 50.0), schema).collect())
+    cells.release()
+    assert all(told[100 + leaf] == 1 for leaf in range(400)) and max(told.values()) <= cells.n
+
+
 def folded(texts):
     acc = ""
     for t in texts:
