@@ -144,6 +144,22 @@ def test_triangle_is_equal_and_cap_is_reported(spark):
     assert not ce.eigenvector(path, ids(spark, 1, 2, 3), max_iterations=2).converged
 
 
+def test_plans_stay_short_on_many_tasks(spark, monkeypatch):
+    """Tasks report on every step before theirs in a plan: with many tasks each step is a plan of its own, with the same scores."""
+    e = spark.createDataFrame([(i, (i * 7 + 3) % 40 + 40, float(i % 5 + 1)) for i in range(40)] + [(1, 2, 3.0), (2, 5, 1.0)], "a bigint, b bigint, weight double")
+    plans = []
+    written = ce.cut
+    monkeypatch.setattr(ce, "cut", lambda df: plans.append(df._jdf.queryExecution().analyzed().toString().count("Join Inner")) or written(df))
+    scores = []
+    for rows in (ce.TASK_ROWS, 5):
+        plans.clear()
+        monkeypatch.setattr(ce, "TASK_ROWS", rows)
+        c = ce.eigenvector(e, ids(spark, *range(80)), max_iterations=7, steps_per_plan=5)
+        scores.append({r["entity_id"]: r["score"] for r in c.scores.collect()})
+        assert max(plans) == (5 if rows > 5 else 1) and sum(plans) == 7
+    assert all(abs(v - scores[1][k]) < 1e-12 for k, v in scores[0].items())
+
+
 def test_no_edges_scores_zero(spark):
     e = spark.createDataFrame([], "a bigint, b bigint, weight double")
     c = ce.eigenvector(e, ids(spark, 1, 2))
