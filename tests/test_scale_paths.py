@@ -1,5 +1,6 @@
 """Plain versions of the operators that bound what moves: ranking, traversal, descriptions."""
 
+import hashlib
 import math
 import random
 import re
@@ -418,3 +419,26 @@ def test_postings_are_counted_where_texts_were_dealt(spark):
     plan = ps.build_postings(docs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "REPARTITION_BY_COL" in plan
     assert sorted((r["doc_id"], r["term"], r["tf"], r["tf_title"], r["dl"]) for r in found.collect()) == [(1, "cat", 2, 1, 4), (1, "run", 2, 0, 4), (2, "dog", 1, 0, 1)]
+
+
+def test_report_prompts_of_any_size_are_whole(spark, monkeypatch):
+    """One prompt for each community: beyond a million lines too, and from many pieces as from one."""
+    from compare import bag, connect
+    from corpusgraph.operators import reports
+    from corpusgraph.plans import check_graph as cg
+    from corpusgraph.plans.catalog import with_views
+
+    n = 1_000_001
+    members = spark.range(n).select(F.lit(0).alias("level"), F.lit(3).cast("long").alias("cluster"), F.col("id").alias("entity_id"))
+    named = spark.range(n).selectExpr("id AS entity_id", "concat('T', id) AS title", "'X' AS type", "'' AS description")
+    none = spark.createDataFrame([], "source_id long, target_id long, type string, description string, weight double")
+    made = reports.report_prompts(members, named, none, cg.REPORT_LINES).select("parts", F.length("user").alias("n"), F.sha2("user", 256).alias("h")).collect()
+    text = "Community level 0, cluster 3.\n\nMember entities:\n" + "\n".join(f"- T{i} (X): " for i in range(n))
+    text += "\n\nRelationships:\n(no relationships within this community)\n\nWrite the community report now, as the single JSON object described above.\n"
+    assert [tuple(r) for r in made] == [(1, len(text), hashlib.sha256(text.encode()).hexdigest())]
+
+    monkeypatch.setattr(reports, "PIECE_LINES", 7)
+    sf = "/root/testdata/sf0.001"
+    got = cg._report_prompts(spark, sf).select("level", "cluster", F.col("user").alias("usr"))
+    want = connect(sf).execute(with_views("rel_v", "entities_v", **cg.REPORT) + "SELECT level, cluster, usr FROM rprompts")
+    assert bag(got.columns, [tuple(r) for r in got.collect()]) == bag([d[0] for d in want.description], want.fetchall())
