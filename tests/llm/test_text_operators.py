@@ -7,6 +7,7 @@ import time
 
 import pytest
 from brute import SF, crc, fold, secret_spans
+from pyspark.sql import functions as F
 
 from corpusgraph.llm import bpe, classlm, licenses, queries, secrets, toxicity
 from corpusgraph.llm.words import crc_of
@@ -129,6 +130,81 @@ def test_exchange_finds_planted_classes():
     assert all(len(set(member[found == c])) <= 1 for c in range(8))
 
 
+def test_every_training_word_has_a_class_of_its_neighbours(spark, edge_docs, edge_rows, monkeypatch):
+    """Words that are no symbols are clustered too; scores equal a plain class model, whether a word travels or is joined."""
+    import numpy as np
+
+    for name, few in (("LEAST_SYMBOLS", 30), ("LEAST_CLASSES", 8), ("CLASS_SYMBOLS", 1), ("LOCAL_WORDS", 60), ("FLUSH_NEIGHBOURS", 500), ("FLUSH_WORDS", 400), ("PIECE_TEXTS", 7)):
+        monkeypatch.setattr(classlm, name, few)
+    held = crc_of(edge_docs["doc_id"]) % 10 == 0
+    model, counts = classlm.fit(edge_docs, ~held)
+    told = {r["word"].encode(): (r["c"], r["class"]) for r in counts.collect()}
+    texts = [classlm.words_of(t) for d, t in edge_rows if crc(d) % 10]
+    own, end = set(model.lexicon.words[: model.lexicon.own]), len(model.steps) - 1
+    assert set(told) == {w for t in texts for w in t} and len(own) < len(model.lexicon.words) < len(told)
+
+    def unmet(w):
+        return int(model.class_of[model.lexicon.own + classlm.ending(w)])
+
+    def class_of(w):
+        return told[w][1] if w in told else unmet(w)
+
+    # transitions with the classes found
+    between = np.zeros((end + 1, end + 1))
+    for t in texts:
+        of = [end, *map(class_of, t), end]
+        np.add.at(between, (of[:-1], of[1:]), 1)
+    often = (between.sum(axis=0) + 1) / (between.sum() + end + 1)
+    steps = np.log10((between + often) / (between.sum(axis=1, keepdims=True) + 1))
+    assert model.steps == pytest.approx(steps)
+    tokens, kinds = collections.Counter(), collections.Counter(c for _, c in told.values())
+    for n, c in told.values():
+        tokens[c] += n
+    want = []
+    for d, t in edge_rows:
+        words = classlm.words_of(t)
+        of = [end, *map(class_of, words), end]
+        emitted = sum(math.log10((told.get(w, (0,))[0] + 0.1) / (tokens[class_of(w)] + 0.1 * (kinds[class_of(w)] + 1))) for w in words)
+        want.append((d, len(words) + 1, round(emitted + float(steps[of[:-1], of[1:]].sum()), 3)))
+    assert ordered((r["doc_id"], r["n_tokens"], round(r["score"], 3)) for r in classlm.scored(edge_docs, model, counts).collect()) == ordered(want)
+
+    # every other word: the best class by its neighbours' classes, one by one
+    symbol = lambda w: int(model.class_of[model.lexicon.words.index(w)]) if w in own else unmet(w)
+    start = np.zeros_like(between)
+    beside: dict = {}
+    for t in texts:
+        of = [end, *map(symbol, t), end]
+        np.add.at(start, (of[:-1], of[1:]), 1)
+        for i, w in enumerate(t):
+            beside.setdefault(w, collections.Counter()).update([of[i], end + 1 + of[i + 2]])
+    f = lambda x: x * math.log(x) if x > 0 else 0.0
+    rows, cols = start.sum(axis=1), start.sum(axis=0)
+    for w in sorted(set(told) - own)[::7]:
+        gains, a, n = [], symbol(w), told[w][0]
+        for c in range(end):
+            sign = -1 if c == a else 1
+            gain = sum(sign * (f(x + sign * m) - f(x)) for k, m in beside[w].items() for x in [start[k, c] if k <= end else start[c, k - end - 1]])
+            gains.append(gain - sum(sign * (f(x + sign * n) - f(x)) for x in (rows[c], cols[c])))
+        assert gains[told[w][1]] >= max(gains) - 1e-6
+
+
+def test_words_of_one_ending_part_by_their_neighbours(spark, monkeypatch):
+    """Rare words that end alike, half of them among one kind of words, half among another."""
+    monkeypatch.setattr(classlm, "LEAST_SYMBOLS", 20)
+    monkeypatch.setattr(classlm, "LEAST_CLASSES", 6)
+    monkeypatch.setattr(classlm, "CLASS_SYMBOLS", 1)
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):
+        kind = "ab"[i % 2]
+        often = lambda: f"{kind}{rng.randrange(6)}"  # noqa: B023, E731
+        rows.append((i, " ".join(f"{often()} rare{kind}{rng.randrange(40)}zz {often()}" for _ in range(4))))
+    model, counts = classlm.fit(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True))
+    of = {r["word"]: r["class"] for r in counts.collect() if r["word"].encode() not in model.lexicon.words[: model.lexicon.own]}
+    kinds = [{c for w, c in of.items() if w[4] == kind} for kind in "ab"]
+    assert all(kinds) and not kinds[0] & kinds[1]
+
+
 def toxic_tables(spark):
     rng = random.Random(3)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
