@@ -442,3 +442,32 @@ def test_report_prompts_of_any_size_are_whole(spark, monkeypatch):
     got = cg._report_prompts(spark, sf).select("level", "cluster", F.col("user").alias("usr"))
     want = connect(sf).execute(with_views("rel_v", "entities_v", **cg.REPORT) + "SELECT level, cluster, usr FROM rprompts")
     assert bag(got.columns, [tuple(r) for r in got.collect()]) == bag([d[0] for d in want.description], want.fetchall())
+
+
+def test_a_large_graph_rests_in_one_task(spark):
+    """A graph of more than 200,000 edges in both directions is moved by one task, and no node gains by another move."""
+    import numpy as np
+    from corpusgraph.operators import communities as cm
+    from corpusgraph.operators.edges import Adjacency
+
+    rng = np.random.default_rng(3)
+    n, m = 2_000, 120_000
+    pairs = np.unique(np.sort(np.where(rng.random((m, 1)) < 0.7, rng.integers(0, n // 10, (m, 2)) * 10 + rng.integers(0, 10, (m, 1)), rng.integers(0, n, (m, 2))), axis=1), axis=0)
+    pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+    edges = spark.createDataFrame([(int(a), int(b), 1.0) for a, b in pairs], "a long, b long, weight double")
+    degree = np.bincount(pairs.ravel(), minlength=n).astype(float)
+    nodes = spark.createDataFrame([(i, float(degree[i]), float(degree.sum())) for i in range(n)], "node long, k double, m2 double")
+    adjacency = Adjacency(cm._sym(edges, nodes), task_rows=cm.TASK_ROWS)
+    assert adjacency.n_rows > 200_000 and adjacency.parts == 1
+    of = np.zeros(n, int)
+    for r in cm._move(nodes, adjacency).collect():
+        of[r["node"]] = r["comm"]
+    adjacency.release()
+    pull = np.zeros((n, n))
+    np.add.at(pull, (np.append(pairs[:, 0], pairs[:, 1]), of[np.append(pairs[:, 1], pairs[:, 0])]), 1.0)
+    totals = np.bincount(of, degree, n)
+    gains = pull - degree[:, None] * totals / degree.sum()
+    stay = gains[np.arange(n), of] + degree * degree / degree.sum()
+    gains[np.arange(n), of] = -np.inf
+    gains[pull == 0] = -np.inf
+    assert len(set(of)) < n / 10 and (gains.max(axis=1) <= stay + 1e-6).all()
